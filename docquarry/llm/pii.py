@@ -6,10 +6,11 @@ atom of plain text; its score is the weights of features of the whole span (its
 shape, counts, checksum, neighbours) for that kind, plus a weight for the kind
 before it.  An entity has at most ``MAX_ATOMS`` atoms and ``MAX_CHARS``
 characters, begins and ends at a letter or digit (or begins with one of +(_%),
-isn't cut out of a run of letters and digits, and holds a digit or an at sign; so
-dynamic programming over segments of bounded length finds the best boundaries
-and kinds together.  Since plain atoms score 0, text further than an entity's
-length from a digit or an at sign can't change the result and isn't looked at.
+isn't cut out of a run of letters and digits, and holds a digit or an at sign), and
+lies within a zone: words that each hold a digit or an at sign, no more than two
+characters apart.  Dynamic programming over the segments of a zone finds the best
+boundaries and kinds together; as every atom outside the zones is plain, the rest of
+a text, however long, isn't looked at.
 
 The weights are fitted by maximum likelihood (forward and backward sums, AdaGrad)
 on sentences made here from a fixed seed, with lookalikes that aren't personal.
@@ -86,7 +87,7 @@ def features(text: str, a: int, b: int) -> list[int]:
 
 
 def zones(text: str) -> list[tuple[int, int]]:
-    """Spans that hold every possible entity: digits and at signs, out to the next white space, at most MAX_CHARS away."""
+    """Spans that entities lie in: words with a digit or an at sign (of very long ones MAX_CHARS around it), joined where at most two characters are between."""
     out: list[tuple[int, int]] = []
     for m in _TRIGGER.finditer(text):
         a, b = m.span()
