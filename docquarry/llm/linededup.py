@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -35,7 +35,7 @@ from .common import hash_tokens, keyed
 
 MIN_WORDS, WORDS_PER_EDIT, MAX_EDITS, BAND = 4, 8, 3, 16
 _C, _D, _E = np.uint64(0x16E8FEB86659FD93), np.uint64(0x20761D6478BD642F), np.uint64(0x2127599BF4325C37)
-LINES = "h long, doc_id long, line_no int, words binary"
+LINES = "h long not null, doc_id long, line_no int, words binary"
 
 
 def bound(n: int) -> int:
@@ -218,9 +218,10 @@ def _verify(batches):
 
 def duplicate_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, h, kept_doc_id, kept_line_no, distance) of every line that goes; h is the line's hash."""
-    lines = keyed(docs).where("doc_id is not null").mapInArrow(_lines, LINES).repartition("h")
-    ordered = lines.sortWithinPartitions("h", "doc_id", "line_no")
-    pairs = ordered.mapInArrow(_variants, "key long, h long").repartition("key").sortWithinPartitions("key").mapInArrow(_pairs, "h1 long, h2 long").distinct()
+    lines = keyed(docs).where("doc_id is not null").mapInArrow(_lines, LINES)
+    # a window and a join ask for the same shuffle, so it is done once; an explicit repartition would be another
+    ordered = lines.withColumn("n", F.row_number().over(Window.partitionBy("h").orderBy("doc_id", "line_no")))
+    pairs = ordered.mapInArrow(_variants, "key long, h long").repartition("key").sortWithinPartitions("key").mapInArrow(_pairs, "h1 long not null, h2 long not null").distinct()
     wanted = pairs.select(F.explode(F.array("h1", "h2")).alias("h")).distinct()
     # the shuffle of lines by h is reused; only lines of some pair go on from here
     found = lines.join(wanted, "h", "left_semi").groupBy("h").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.max("words").alias("words"))
