@@ -10,11 +10,11 @@ import hmac
 import zlib
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StringType
+from pyspark.sql.types import ArrayType, StringType
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MAX_TERMS, MIN_WORD = 32, 2
@@ -117,20 +117,38 @@ def reduced(text: Column) -> Column:
     return F.translate(F.regexp_replace(text, r"[^\x00-\x7f]", "."), ASCII, REDUCED)
 
 
-def fnv1a64(text: Column) -> Column:
-    """FNV-1a over the UTF-8 bytes, as an unsigned decimal."""
+def _fnv_halves(text: Column) -> Column:
+    """FNV-1a over the UTF-8 bytes as struct (hi, lo) of 32 bits each.
+
+    The prime is 2**40 + 435, so a product modulo 2**64 is made of sums and shifts of
+    halves that never leave 63 bits: plain bigint arithmetic, no decimals.
+    """
     digits = F.hex(F.encode(text, "utf-8"))
     n = (F.length(digits) / 2).cast("int")
-    codes = F.transform(F.sequence(F.lit(1), n), lambda i: F.conv(F.substr(digits, i * 2 - 1, F.lit(2)), 16, 10).cast("int"))
-    codes = F.when(n > 0, codes).otherwise(F.array().cast("array<int>"))
-    modulus = F.lit(str(1 << 64)).cast("decimal(21,0)")
+    codes = F.transform(F.sequence(F.lit(1), n), lambda i: F.conv(F.substr(digits, i * 2 - 1, F.lit(2)), 16, 10).cast("bigint"))
+    codes = F.when(n > 0, codes).otherwise(F.array().cast("array<bigint>"))
+    low32 = F.lit((1 << 32) - 1)
 
     def step(h: Column, b: Column) -> Column:
-        low = F.pmod(h, F.lit(256).cast("decimal(21,0)")).cast("int")
-        mixed = (h - low.cast("decimal(21,0)") + low.bitwiseXOR(b).cast("decimal(21,0)")).cast("decimal(20,0)")
-        return F.pmod(mixed * F.lit(str(FNV_PRIME)).cast("decimal(13,0)"), modulus).cast("decimal(38,0)")
+        lo = h["lo"].bitwiseXOR(b)
+        product = lo * (FNV_PRIME & 0xFFFF)
+        hi = (h["hi"] * (FNV_PRIME & 0xFFFF) + F.shiftleft(lo, FNV_PRIME.bit_length() - 33) + F.shiftright(product, 32)).bitwiseAND(low32)
+        return F.struct(hi.alias("hi"), product.bitwiseAND(low32).alias("lo"))
 
-    return F.aggregate(codes, F.lit(str(FNV_OFFSET)).cast("decimal(38,0)"), step).cast("decimal(20,0)")
+    start = F.struct(F.lit(FNV_OFFSET >> 32).cast("bigint").alias("hi"), F.lit(FNV_OFFSET & 0xFFFFFFFF).cast("bigint").alias("lo"))
+    return F.aggregate(codes, start, step)
+
+
+def fnv1a64(text: Column) -> Column:
+    """FNV-1a over the UTF-8 bytes, as an unsigned decimal."""
+    return F.aggregate(F.array(_fnv_halves(text)), F.lit(0).cast("decimal(38,0)"), lambda _, h: (h["hi"].cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(10,0)") + h["lo"].cast("decimal(10,0)")).cast("decimal(38,0)")).cast("decimal(20,0)")
+
+
+def fnv1a64_mod(text: Column, n: int) -> Column:
+    """FNV-1a modulo ``n``, which is under 2**30."""
+    if not 0 < n < 1 << 30:
+        raise ValueError("1 to 2**30 - 1 partitions")
+    return F.aggregate(F.array(_fnv_halves(text)), F.lit(0).cast("bigint"), lambda _, h: (h["hi"] % n * ((1 << 32) % n) + h["lo"]) % n).cast("int")
 
 
 def fnv1a64_int(text: str) -> int:
@@ -180,12 +198,19 @@ def url_decode(text: Column) -> Column:
     return F.url_decode(text)
 
 
-@F.arrow_udf(ArrayType(LongType()))
-def _pair_codes(texts: pa.Array) -> pa.Array:
-    out = [None if t is None else [t[i] << 8 | t[i + 1] for i in range(len(t) - 1)] for t in pc.cast(texts, pa.binary()).to_pylist()]
-    return pa.array(out, pa.list_(pa.int64()))
-
-
-def byte_pairs(text: Column) -> Column:
-    """Neighbouring bytes as 16-bit numbers."""
-    return _pair_codes(text)
+def count_byte_pairs(batches):
+    """Counts of neighbouring bytes within a text, for a task: 65,536 rows at most, however many texts."""
+    total = np.zeros(1 << 16, np.int64)
+    for batch in batches:
+        texts = batch.column(0).fill_null("")
+        ends = np.frombuffer(texts.buffers()[1], np.int64 if pa.types.is_large_string(texts.type) else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+        for at in range(int(ends[0]), int(ends[-1]), 1 << 22):
+            part = data[at : min(at + (1 << 22) + 1, int(ends[-1]))].astype(np.int64)
+            codes = part[:-1] << 8 | part[1:]
+            keep = np.ones(len(codes), bool)
+            cut = ends[1:-1] - 1 - at  # pairs across two texts
+            keep[cut[(cut >= 0) & (cut < len(codes))]] = False
+            total += np.bincount(codes[keep], minlength=1 << 16)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["pair", "n"])

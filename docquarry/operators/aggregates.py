@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.json import Text, Typed
+from ..functions.text import count_byte_pairs
 
 
 def summary(number: Column) -> list[Column]:
@@ -36,9 +37,7 @@ def storage_bytes(df: DataFrame, value: str = "value", by: list[str] | None = No
 
 def pair_frequencies(df: DataFrame, text: str) -> DataFrame:
     """(pair, n, weight): counts of neighbouring bytes and weights that are high for rare pairs, 0xFE00 down to 0x1000."""
-    from ..functions.text import byte_pairs
-
-    counts = df.select(F.explode(byte_pairs(F.col(text))).alias("pair")).groupBy("pair").agg(F.count("*").alias("n"))
+    counts = df.select(df[text].cast("string")).mapInArrow(count_byte_pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
     top = counts.agg(F.max("n").alias("top"))  # at most 65,536 rows go in
     return counts.crossJoin(F.broadcast(top)).select("pair", "n", (F.lit(0xFE00) - F.floor(F.col("n") * (0xFE00 - 0x1000) / F.col("top"))).cast("int").alias("weight"))
 

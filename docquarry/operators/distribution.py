@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import fnv1a64, fnv1a64_int
+from ..functions.text import fnv1a64, fnv1a64_int, fnv1a64_mod
 
 VIRTUAL = 150
 
 
 def hash_partition(key: Column, n: int) -> Column:
-    return F.pmod(fnv1a64(key), F.lit(n).cast("decimal(10,0)")).cast("int")
+    return fnv1a64_mod(key, n)
 
 
 def range_partition(value: Column, boundaries: list[int]) -> Column:
@@ -30,13 +30,25 @@ def ring(spark: SparkSession, nodes: list[str], virtual: int = VIRTUAL) -> DataF
 
 
 def ring_owner(df: DataFrame, key: str, vnodes: DataFrame) -> DataFrame:
-    """``df`` with the node of the first place at or after the key's hash, round the ring."""
-    places = vnodes.groupBy("place").agg(F.min("node").alias("node"))
-    sorted_ring = places.agg(F.sort_array(F.collect_list(F.struct("place", "node"))).alias("ring"))  # nodes times virtual nodes
-    hashed = df.withColumn("__h", fnv1a64(F.col(key))).crossJoin(F.broadcast(sorted_ring))
-    after = F.filter("ring", lambda v: v["place"] >= F.col("__h"))
-    first = F.when(F.size(after) > 0, F.element_at(after, 1)).otherwise(F.element_at("ring", 1))
-    return hashed.withColumn("node", first["node"]).drop("__h", "ring")
+    """``df`` with the node of the first place at or after the key's hash, round the ring.
+
+    The ring (nodes times virtual nodes) is cut into cells by the hash's upper bits; a
+    cell has its own places and the next one after it, so a row looks at very few.
+    """
+    places = sorted((int(r.place), r.node) for r in vnodes.groupBy("place").agg(F.min("node").alias("node")).collect())
+    bits = max(1, len(places).bit_length())
+    cells: list[list[tuple[int, str]]] = [[] for _ in range(1 << bits)]
+    for p, n in places:
+        cells[p >> (64 - bits)].append((p, n))
+    following = places[0][1]
+    rows = []
+    for c in range((1 << bits) - 1, -1, -1):
+        rows.append((c, [str(p) for p, _ in cells[c]], [n for _, n in cells[c]] + [following]))
+        following = cells[c][0][1] if cells[c] else following
+    ring_cells = df.sparkSession.createDataFrame(rows, "__cell long, __places array<string>, __nodes array<string>").withColumn("__places", F.col("__places").cast("array<decimal(20,0)>"))
+    hashed = df.withColumn("__h", fnv1a64(F.col(key))).withColumn("__cell", F.floor(F.col("__h") / F.lit(str(1 << (64 - bits))).cast("decimal(20,0)")).cast("long"))
+    before = F.size(F.filter("__places", lambda p: p < F.col("__h")))
+    return hashed.join(F.broadcast(ring_cells), "__cell").withColumn("node", F.element_at("__nodes", before + 1)).drop("__h", "__cell", "__places", "__nodes")
 
 
 def ring_replicas(df: DataFrame, key: str, vnodes: DataFrame, count: int) -> DataFrame:
