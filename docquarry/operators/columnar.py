@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import positioned
+
 
 def dictionary(df: DataFrame, column: str, order: str) -> DataFrame:
     """(value, code): codes from 0 in the order of the values' first rows."""
     firsts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.min(order).alias("first"))
-    return firsts.select("value", (F.row_number().over(Window.orderBy("first", "value")) - 1).alias("code"))  # as many rows as values
+    return positioned(firsts, [F.col("first"), F.col("value")], "code").select("value", "code")
 
 
 def encode(df: DataFrame, column: str, codes: DataFrame) -> DataFrame:
