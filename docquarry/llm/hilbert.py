@@ -22,10 +22,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from ..operators.order import positioned
 
 BITS, RUN_ROWS = 8, 8192
 DIMENSIONS = (("doc_id", "linear"), ("n_chars", "log"), ("lang", "rank"), ("source", "rank"))
@@ -56,18 +56,6 @@ def curve_index(cells: list[np.ndarray], bits: int) -> np.ndarray:
     return out
 
 
-def positioned(df: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
-    """``df`` in the global order, numbered from 0."""
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    done = checkpoint(df.repartitionByRange(n, *order).sortWithinPartitions(*order))  # the partitions stay as they are from here on
-    numbered = done.withColumn("__row", F.monotonically_increasing_id())
-    part = F.shiftright("__row", 33)
-    sizes = {r[0]: r[1] for r in numbered.groupBy(part.alias("p")).count().collect()}  # a row for each partition
-    before = np.cumsum([0, *(sizes.get(p, 0) for p in range(max(sizes, default=0) + 1))]).tolist()
-    return numbered.withColumn(name, F.element_at(F.array(*map(F.lit, before)), (part + 1).cast("int")).cast("long") + F.col("__row").bitwiseAND(F.lit((1 << 33) - 1))).drop("__row")
-
-
 def cells(docs: DataFrame, dimensions=DIMENSIONS, bits: int = BITS, id_col: str = "doc_id") -> DataFrame:
     """(id, d0, d1, ...): the id as a long and each row's cell in each dimension."""
     top = (1 << bits) - 2

@@ -42,7 +42,7 @@ def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return codes.astype(np.int8).astype(np.float32), scale, np.sqrt((near**2).sum(1)), np.sqrt(((x - near) ** 2).sum(1))
 
 
-def _tile(a, b, base: np.ndarray, limit: np.ndarray, k: int, same: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _tile(a, b, limit: np.ndarray, k: int, same: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, column, squared distance) of the pairs that survive; ``limit`` is the k-th least squared distance of each row so far."""
     (x, qx, sx, nx, ex, lx), (y, qy, sy, ny, ey, ly) = a, b
     width = x.shape[1]
@@ -81,7 +81,7 @@ def search(ids_a: np.ndarray, a: np.ndarray, ids_b: np.ndarray, b: np.ndarray, k
         for at in range(0, len(b), tile):
             other = tuple(v[at : at + tile] for v in full_b)
             same = ids_a[lo : lo + tile, None] == ids_b[None, at : at + tile]
-            row, column, square = _tile(part, other, ids_b, limit, k, same if same.any() else None)
+            row, column, square = _tile(part, other, limit, k, same if same.any() else None)
             row = np.concatenate([kept_row, row])
             num = np.concatenate([kept_id, ids_b[at + column]])
             square = np.concatenate([kept_square, square])
