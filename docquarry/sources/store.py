@@ -14,6 +14,7 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.json import embedding
 from ..operators import branches as B
 from ..operators import log as L
 from ..operators.aggregates import aggregate
@@ -103,13 +104,16 @@ class Collection:
         ordered = [c.split()[0] for c in schema.split(", ")]
         rows.select(*ordered).write.mode("append").parquet(f"{self.path}/{part}")
 
-    def write(self, rows: DataFrame, ttl_seconds: int | None = None) -> None:
-        """Inserts or updates (key, value, embedding): the newest row of a key counts, of a key that repeats the last by value."""
+    def write(self, rows: DataFrame, ttl_seconds: int | None = None, vector: tuple[str, int] | None = None) -> None:
+        """Inserts or updates (key, value, embedding): the newest row of a key counts, of a key that repeats the last by value.
+
+        ``vector``: the JSON field, and its length, that embeddings are taken from where rows bring none.
+        """
         self.db.check_storage(self.tenant, rows)
         epoch, last = self._last("epoch") + 1, self._last("doc_id")
         now = int(time.time() * 1000)
-        if "embedding" not in rows.columns:
-            rows = rows.withColumn("embedding", F.lit(None).cast("array<float>"))
+        own = embedding(F.col("value"), vector[1], vector[0]) if vector else F.lit(None).cast("array<float>")
+        rows = rows.withColumn("embedding", F.coalesce(F.col("embedding").cast("array<float>"), own) if "embedding" in rows.columns else own)
         rows = rows.groupBy("key").agg(F.max_by(F.struct("value", "embedding"), "value").alias("r")).select("key", "r.value", "r.embedding")
         old = L.compact(self.log).select("key", F.col("doc_id").alias("old_id"), F.col("version").alias("old_version"), "op")
         joined = rows.join(old, "key", "left")
@@ -140,6 +144,15 @@ class Collection:
             self._append(there.withColumns({"op": F.lit("delete"), "value": F.lit(None).cast("string"), "epoch": F.lit(epoch).cast("long"), "ts_ms": F.lit(now).cast("long"), "version": F.col("version") + 1, "embedding": F.lit(None).cast("array<float>")}), "log", LOG)
         return n
 
+    def expire(self, keys: Sequence[str], at_ms: int | None) -> int:
+        """Sets, or with None takes away, the time from which these keys are gone; how many there were."""
+        there = self.view().where(F.col("key").isin(list(keys)))
+        n = there.count()
+        if n:
+            epoch, now = self._last("epoch") + 1, int(time.time() * 1000)
+            self._append(there.withColumns({"op": F.lit("update"), "epoch": F.lit(epoch).cast("long"), "ts_ms": F.lit(now).cast("long"), "version": F.col("version") + 1, "expires_at": F.lit(at_ms).cast("long")}), "log", LOG)
+        return n
+
     def load_ndjson(self, path: str) -> None:
         self.write(read_ndjson(self.db.spark, path))
 
@@ -277,6 +290,10 @@ class Database:
         p, fs = self._fs(f"{self.path}/{tenant}/{name}")
         fs.delete(p, True)
 
+    def fork(self, path: str) -> Fork:
+        """A database that starts as this one is and keeps its own writes under ``path``."""
+        return Fork(self, Database(self.spark, path, self.keys))
+
     def tenant(self, name: str) -> Tenant:
         return Tenant(self, name)
 
@@ -295,3 +312,27 @@ class Tenant:
 
     def drop(self, name: str) -> None:
         self.db.drop(name, self.name)
+
+
+class Fork:
+    """Own writes over another database, which stays as it is; deletions hide the other's rows."""
+
+    def __init__(self, base: Database, own: Database):
+        self.base, self.own = base, own
+
+    def view(self, name: str, tenant: str = "default") -> DataFrame:
+        """(key, value) of the live rows."""
+        overlay = L.compact(self.own.collection(name, tenant).log).select("key", "value", (F.col("op") == "delete").alias("deleted"))
+        return B.overlay_scan(self.base.collection(name, tenant).view(), overlay)
+
+    def insert(self, name: str, documents: Mapping[str, object], tenant: str = "default") -> None:
+        self.own.collection(name, tenant).insert(documents)
+
+    def delete(self, name: str, keys: Sequence[str], tenant: str = "default") -> int:
+        """Deletes keys of either; how many there were."""
+        there = [r.key for r in self.view(name, tenant).where(F.col("key").isin(list(keys))).select("key").collect()]  # of the keys given
+        if there:
+            mine = self.own.collection(name, tenant)
+            mine.insert({k: "" for k in there})
+            mine.delete(there)
+        return len(there)

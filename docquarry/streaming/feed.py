@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.text import hmac_sha256_native
+from ..operators.search import postings
 
 
 def read_stream(spark: SparkSession, path: str, schema: StructType | str, files_per_trigger: int | None = None) -> DataFrame:
@@ -47,6 +48,17 @@ def in_order(feed: DataFrame, apply: Callable[[DataFrame, int], None], checkpoin
     return feed.writeStream.foreachBatch(lambda batch, n: apply(batch.orderBy("seq"), n)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def refresh_postings(docs: DataFrame, path: str, checkpoint: str, column: str = "text", key: str = "doc_id"):
+    """Keeps a trigram index up with a stream of new texts, a micro-batch at a time."""
+    return postings(docs, column, key).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def lag(query) -> int:
+    """Input rows a second that a query is behind, 0 at least: arrivals less what it gets through."""
+    last = query.lastProgress or {}
+    return max(0, round((last.get("inputRowsPerSecond") or 0) - (last.get("processedRowsPerSecond") or 0)))
+
+
 def tumbling(events: DataFrame, width: str, ts: str = "ts", by: list[str] | None = None, late: str | None = None, value: str = "value") -> DataFrame:
     """Counts and sums in fixed windows; ``late``: the watermark of a stream."""
     return windowed(events, F.window(ts, width), ts, by, late, value)
