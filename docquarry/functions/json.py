@@ -50,16 +50,16 @@ class Text:
         return F.coalesce(F.is_variant_null(self.get(field)), F.lit(False))
 
     def _as(self, field: str, kind: str, target: str) -> Column:
-        return F.when(self.kind(field) == kind, F.try_variant_get(self.variant, json_path(field), target))
+        return F.when(F.schema_of_variant(self.get(field)).rlike(kind), F.try_variant_get(self.variant, json_path(field), target))
 
     def string(self, field: str) -> Column:
-        return self._as(field, "string", "string")
+        return self._as(field, "^STRING", "string")
 
     def boolean(self, field: str) -> Column:
-        return self._as(field, "boolean", "boolean")
+        return self._as(field, "^BOOLEAN", "boolean")
 
     def number(self, field: str) -> Column:
-        return self._as(field, "number", "double")
+        return self._as(field, "^(BIGINT|DECIMAL|DOUBLE|FLOAT|INT|SMALLINT|TINYINT)", "double")
 
     def integer(self, field: str) -> Column:
         """Null for numbers that aren't written as integers."""
