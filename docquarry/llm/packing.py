@@ -4,11 +4,10 @@ A document's length is its number of words between white space.  What is longer
 than a window is cut into pieces of one window and a rest, so whole texts are
 packed.  Documents are dealt to groups by a hash of their id; each group, of
 about ``group_size`` pieces, is packed on its own: best fit decreasing, then a
-local search over the bins that aren't full.  The search takes the emptiest bin
-and empties it piece by piece: a piece moves into a bin with room for it, or is
-exchanged one for one for a smaller piece, or two for one, always from the
-emptier to the fuller bin, so that the sum of squared fills grows with every
-step.  A bin that has lost its last piece is gone.
+local search over the bins that aren't full.  From the emptiest bin on, pieces move into
+a fuller bin with room for them, or are exchanged one for one for a smaller piece,
+or two for one, so that the sum of squared fills grows with every step; rounds go
+on until one finds no step.  A bin that has lost its last piece is gone.
 
 Defined cases: texts without words (null, empty, white space) have length 0 and
 aren't packed; a null id goes to the group of the empty id; rows that repeat are
@@ -112,16 +111,15 @@ class _Search:
         return best
 
     def run(self) -> list[list[int]]:
-        """Empties the emptiest bin as far as it can be, then goes to the next, until no bin is emptied any more."""
-        loose = sorted((b for b in range(len(self.bins)) if self.fill[b] < self.capacity), key=lambda b: (self.fill[b], b))
-        while len(loose) > 1:
-            source, others = loose[0], loose[:0:-1]
-            if sum(self.capacity - self.fill[b] for b in others) < 1:
-                break
-            while self.bins[source] and self._improve(source, others):
-                pass
-            loose = sorted((b for b in loose[1:] if self.fill[b] < self.capacity), key=lambda b: (self.fill[b], b))
-        return [b for b in self.bins if b]
+        """Rounds over the bins that aren't full, from the emptiest on, until a round finds no step; bins that are emptied are gone."""
+        while True:
+            before = self.steps
+            loose = sorted((b for b in range(len(self.bins)) if 0 < self.fill[b] < self.capacity), key=lambda b: (self.fill[b], b))
+            for k, source in enumerate(loose):
+                while self.bins[source] and self._improve(source, [b for b in loose[:k:-1] if self.fill[b]]):
+                    pass
+            if self.steps == before:
+                return [b for b in self.bins if b]
 
 
 def pack(sizes: list[int], capacity: int) -> list[list[int]]:

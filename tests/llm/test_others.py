@@ -210,7 +210,7 @@ def test_packing(spark, documents):
 def test_local_search_empties_bins():
     rng, better = np.random.default_rng(9), 0
     for _ in range(40):
-        sizes = sorted(rng.integers(150, 700, 60).tolist(), reverse=True)
+        sizes = sorted(rng.integers(250, 500, 60).tolist(), reverse=True)
         first, last = packing.best_fit(sizes, 1000), packing.pack(sizes, 1000)
         assert sorted(i for b in last for i in b) == list(range(60)) and all(sum(sizes[i] for i in b) <= 1000 for b in last)
         assert len(last) <= len(first)
