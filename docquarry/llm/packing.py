@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import keyed
 
-CAPACITY, GROUP_SIZE = 2048, 8192
+CAPACITY, GROUP_SIZE, MOST_TASKS = 2048, 8192, 20_000
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -166,5 +166,6 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, group_size: int =
     rows = docs.count()
     groups = max(1, -(-rows // group_size))
     dealt = pieces.select(F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(groups)).alias("g"), "doc_id", "piece", "size")
-    ordered = dealt.repartition("g").sortWithinPartitions("g", F.desc("size"), "doc_id", "piece")
+    # a number of its own: the rows are few bytes but much work, so adaptive execution mustn't join these partitions
+    ordered = dealt.repartition(min(groups, MOST_TASKS), "g").sortWithinPartitions("g", F.desc("size"), "doc_id", "piece")
     return ordered.mapInArrow(_pack_groups(capacity), "bin_group long, bin int, doc_id long, piece int, n_tokens int")
