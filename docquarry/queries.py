@@ -99,7 +99,7 @@ _on("agg_grouping_sets", _SETS + "GROUPING SETS ((l_returnflag), (l_linestatus))
 _on("storage_bytes", "SELECT source, count(*) AS docs, sum(octet_length(encode(text))) AS bytes FROM documents GROUP BY source", "documents", lambda t: A.storage_bytes(t, "text", ["source"]))
 _on(
     "pair_frequencies",
-    "WITH h AS (SELECT hex(encode(text)) AS h FROM documents), p AS (SELECT ('0x' || substr(h, 2 * i + 1, 4))::BIGINT AS pair FROM h, unnest(range(length(h) // 2 - 1)) AS t(i)), c AS (SELECT pair, count(*) AS n FROM p GROUP BY pair) SELECT pair, n, (65024 - floor(n * 60928.0::DOUBLE / max(n) OVER ()))::INT AS weight FROM c",
+    "WITH b AS (SELECT regexp_extract_all(hex(encode(text)), '..') AS b FROM documents), p AS (SELECT ('0x' || unnest([b[i + 1] || b[i + 2] for i in range(len(b) - 1)]))::BIGINT AS pair FROM b), c AS (SELECT pair, count(*) AS n FROM p GROUP BY pair) SELECT pair, n, (65024 - floor(n * 60928.0::DOUBLE / max(n) OVER ()))::INT AS weight FROM c",
     "documents", lambda t: A.pair_frequencies(t, "text"),
 )
 _LOG = "SELECT user_id, event_id, event_id % 977 AS cpu_us, user_id % 50 AS rows, octet_length(encode(props)) * 1000 AS bytes FROM events"
