@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DataType, NumericType, StringType, StructType
+from pyspark.sql.types import BooleanType, ByteType, DataType, IntegerType, LongType, NumericType, ShortType, StringType, StructType
 
 
 def json_path(field: str) -> str:
@@ -104,8 +104,10 @@ class Typed:
         return self._as(field, NumericType, "double")
 
     def integer(self, field: str) -> Column:
-        column, own = self._find(field)
-        return column.cast("bigint") if own is not None and own.typeName() in ("byte", "short", "integer", "long") else F.lit(None).cast("bigint")
+        return self._find(field)[0].cast("bigint") if self.is_integer(field) else F.lit(None).cast("bigint")
+
+    def is_integer(self, field: str) -> bool:
+        return isinstance(self._find(field)[1], ByteType | ShortType | IntegerType | LongType)
 
 
 def embedding(value: Column, dims: int, field: str = "embedding") -> Column:

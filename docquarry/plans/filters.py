@@ -31,15 +31,18 @@ def _equal(s: Source, field: str, v) -> Column:
     if v is None:
         return s.is_null(field)
     if isinstance(v, bool):
-        return _sure(s.boolean(field) == F.lit(v))
+        return s.boolean(field) == F.lit(v)
     if isinstance(v, int):
         if not -(1 << 63) <= v < 1 << 63:
-            return _sure(s.number(field) == F.lit(float(v)))
-        return _sure(F.coalesce(s.integer(field) == F.lit(v).cast("bigint"), s.number(field) == F.lit(float(v))))
+            return s.number(field) == F.lit(float(v))
+        whole = s.integer(field) == F.lit(v).cast("bigint")
+        if isinstance(s, Typed):
+            return whole if s.is_integer(field) else s.number(field) == F.lit(float(v))
+        return F.coalesce(whole, s.number(field) == F.lit(float(v)))
     if isinstance(v, float):
-        return _sure(s.number(field) == F.lit(v))
+        return s.number(field) == F.lit(v)
     if isinstance(v, str):
-        return _sure(s.string(field) == F.lit(v))
+        return s.string(field) == F.lit(v)
     return F.lit(False)  # lists and objects equal nothing
 
 
@@ -47,22 +50,23 @@ def _order(compare: Callable[[Column, Column], Column]):
     def build(s: Source, field: str, v) -> Column:
         if isinstance(v, bool) or not isinstance(v, int | float):
             return F.lit(False)
-        return _sure(compare(s.number(field), F.lit(float(v))))
+        return compare(s.number(field), F.lit(float(v)))
 
     return build
 
 
 def _contains(s: Source, field: str, v) -> Column:
-    return _sure(F.contains(s.string(field), F.lit(v))) if isinstance(v, str) else F.lit(False)
+    return F.contains(s.string(field), F.lit(v)) if isinstance(v, str) else F.lit(False)
 
 
 def _in(s: Source, field: str, v) -> Column:
     return reduce(lambda a, b: a | b, [_equal(s, field, x) for x in v], F.lit(False)) if isinstance(v, list) else F.lit(False)
 
 
+#: Conditions that may be null where they don't hold.
 OPERATORS: dict[str, Callable[[Source, str, object], Column]] = {
     "$eq": _equal,
-    "$ne": lambda s, f, v: s.exists(f) & ~_equal(s, f, v),
+    "$ne": lambda s, f, v: s.exists(f) & ~_sure(_equal(s, f, v)),
     "$gt": _order(lambda a, b: a > b),
     "$gte": _order(lambda a, b: a >= b),
     "$lt": _order(lambda a, b: a < b),
@@ -73,17 +77,22 @@ OPERATORS: dict[str, Callable[[Source, str, object], Column]] = {
 }
 
 
-def compile_filter(query: dict | str, source: Source) -> Column:
-    """The condition of a filter, never null."""
+def compile_filter(query: dict | str, source: Source, sure: bool = True) -> Column:
+    """The condition of a filter.
+
+    Never null, unless ``sure`` is false: then what doesn't hold may be null, which is
+    as good in a WHERE, and the plain comparisons can be pushed into a scan.
+    """
     query = json.loads(query) if isinstance(query, str) else query
     if not isinstance(query, dict):
         raise ValueError("a filter is an object")
+    final = _sure if sure else lambda c: c
     parts = []
     for key, value in query.items():
         if key in ("$and", "$or"):
             if not isinstance(value, list):
                 raise ValueError(f"{key} takes a list")
-            own = [compile_filter(q, source) for q in value]
+            own = [compile_filter(q, source, sure) for q in value]
             parts.append(reduce(lambda a, b: a & b, own, F.lit(True)) if key == "$and" else reduce(lambda a, b: a | b, own, F.lit(False)))
         elif key == "$not":
             parts.append(~compile_filter(value, source))
@@ -93,12 +102,12 @@ def compile_filter(query: dict | str, source: Source) -> Column:
             for op, v in value.items():
                 if op not in OPERATORS:
                     raise ValueError(f"unknown operator {op}")
-                parts.append(OPERATORS[op](source, key, v))
+                parts.append(final(OPERATORS[op](source, key, v)))
         else:
-            parts.append(_equal(source, key, value))
+            parts.append(final(_equal(source, key, value)))
     return reduce(lambda a, b: a & b, parts, F.lit(True))
 
 
 def where(df: DataFrame, query: dict | str, value: str | None = None) -> DataFrame:
     """The rows that pass: of the JSON text in column ``value``, or of the columns themselves."""
-    return df.where(compile_filter(query, Text(df[value]) if value else Typed(df)))
+    return df.where(compile_filter(query, Text(df[value]) if value else Typed(df), sure=False))

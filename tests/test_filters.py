@@ -24,6 +24,7 @@ def test_operators(spark):
     source = Text(df["doc"])
     got = df.select(*(compile_filter(q, source).alias(f"c{i}") for i, (q, _) in enumerate(CASES))).first()
     assert [(q, g) for (q, _), g in zip(CASES, got)] == CASES
+    assert [(q, where(df, q, "doc").count() == 1) for q, _ in CASES] == CASES
 
 
 def test_text_that_is_no_json(spark):

@@ -20,4 +20,4 @@ def test_entry(spark, data):
 
 def test_filter_reaches_the_scan(spark, data):
     plan = entry(spark, data)._jdf.queryExecution().executedPlan().toString()
-    assert "PushedFilters" in plan and "EqualTo(event_type,click)" in plan
+    assert "PushedFilters" in plan and "EqualTo(event_type,click)" in plan and "GreaterThan(value,50.0)" in plan
