@@ -42,25 +42,32 @@ def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return codes.astype(np.int8).astype(np.float32), scale, np.sqrt((near**2).sum(1)), np.sqrt(((x - near) ** 2).sum(1))
 
 
+def _prepared(x: np.ndarray):
+    """Vectors, codes, and as columns: scales, squared lengths, what bounds a product's error; in float32 where that can't overflow."""
+    codes, scale, near, rest = quantise(x)
+    square = (x**2).sum(1)
+    kind = np.float32 if square.max(initial=0.0) < 1e30 else np.float64
+    return x, codes.astype(kind), scale.astype(kind), square.astype(kind), near, rest, np.sqrt(square)
+
+
 def _tile(a, b, limit: np.ndarray, k: int, same: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, column, squared distance) of the pairs that survive; ``limit`` is the k-th least squared distance of each row so far."""
-    (x, qx, sx, nx, ex, lx), (y, qy, sy, ny, ey, ly) = a, b
-    width = x.shape[1]
-    if width * 127 * 127 < 1 << 24:
-        product = qx @ qy.T
-    else:
-        product = (qx.astype(np.float64) @ qy.astype(np.float64).T)
-    product = product * sx[:, None] * sy[None, :]
-    square = lx[:, None] + ly[None, :] - 2.0 * product
-    # |xy - x'y'| <= |x'||y - y'| + |x - x'||y|
-    slack = 2.0 * (nx[:, None] * ey[None, :] + ex[:, None] * np.sqrt(ly)[None, :]) + 1e-5 * (lx[:, None] + ly[None, :]) + 1e-30
-    most = square + slack
+    (x, qx, sx, lx, nx, ex, rx), (y, qy, sy, ly, _, ey, ry) = a, b
+    exact = x.shape[1] * 127 * 127 < 1 << 24  # of integers in float32
+    square = qx @ qy.T if exact else (qx.astype(np.float64) @ qy.astype(np.float64).T)
+    square *= sx[:, None]
+    square *= -2 * sy
+    square += lx[:, None]
+    square += ly
+    # |xy - x'y'| <= |x'||y - y'| + |x - x'||y|, for the tile's worst y; then the rounding of the sums above
+    slack = 2.0 * (nx * ey.max() + ex * ry.max()) + 1e-5 * (rx**2 + ry.max() ** 2) + 1e-30
     if same is not None:
-        most[same] = np.inf
         square[same] = np.inf
-    if most.shape[1] > k:
-        limit = np.minimum(limit, np.partition(most, k - 1, axis=1)[:, k - 1])
-    row, column = np.nonzero(square - slack <= limit[:, None])
+    open_ = np.flatnonzero(np.isinf(limit))
+    if len(open_) and square.shape[1] >= k:
+        limit = limit.copy()
+        limit[open_] = np.partition(square[open_], k - 1, axis=1)[:, k - 1] + slack[open_]
+    row, column = np.nonzero(square <= (limit + slack)[:, None])
     if same is not None:
         ok = ~same[row, column]
         row, column = row[ok], column[ok]
@@ -69,9 +76,9 @@ def _tile(a, b, limit: np.ndarray, k: int, same: np.ndarray | None) -> tuple[np.
 
 def search(ids_a: np.ndarray, a: np.ndarray, ids_b: np.ndarray, b: np.ndarray, k: int, tile: int = TILE) -> list[list[tuple[float, int]]]:
     """For each row of ``a`` the k nearest of ``b`` with another id, as (squared distance, id)."""
-    # vectors, codes, scales, lengths of the near vectors and of the residuals, squared lengths
-    full_a = (a, *quantise(a), (a**2).sum(1))
-    full_b = (b, *quantise(b), (b**2).sum(1))
+    order = np.argsort((b**2).sum(1), kind="stable")  # tiles of like lengths have close bounds
+    ids_b, b = ids_b[order], b[order]
+    full_a, full_b = _prepared(a), _prepared(b)
     heaps: list[list[tuple[float, int]]] = [[] for _ in range(len(a))]
     for lo in range(0, len(a), tile):
         part = tuple(v[lo : lo + tile] for v in full_a)
