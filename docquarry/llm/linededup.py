@@ -34,6 +34,7 @@ from pyspark.sql.types import StringType
 from .common import hash_tokens, keyed
 
 MIN_WORDS, WORDS_PER_EDIT, MAX_EDITS, BAND = 4, 8, 3, 16
+SLICE = 512
 _C, _D, _E = np.uint64(0x16E8FEB86659FD93), np.uint64(0x20761D6478BD642F), np.uint64(0x2127599BF4325C37)
 LINES = "h long not null, doc_id long, line_no int, words binary"
 
@@ -72,8 +73,15 @@ def _pieces(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarra
         yield row[lo:hi], number[lo:hi], h, offsets, _line_hashes(h, offsets)
 
 
-def _lines(batches):
+def _slices(batches):
+    """At most ``SLICE`` rows at a time, to bound memory."""
     for batch in batches:
+        for lo in range(0, len(batch), SLICE):
+            yield batch.slice(lo, SLICE)
+
+
+def _lines(batches):
+    for batch in _slices(batches):
         ids = batch.column(0)
         for row, number, h, offsets, whole in _pieces(batch.column(1)):
             n = np.diff(offsets)
@@ -256,20 +264,28 @@ def _copies(batches):
         yield pa.RecordBatch.from_arrays([pa.array(x[gone]) for x in (doc, line, kept_doc, kept_line)], ["doc_id", "line_no", "kept_doc_id", "kept_line_no"])
 
 
+def _cut(texts: pa.Array, gone: pa.Array) -> pa.Array:
+    judged: dict[int, set] = {}
+    for row, number, _, offsets, _ in _pieces(texts):
+        for r, k in zip(row[ok := np.diff(offsets) >= MIN_WORDS].tolist(), number[ok].tolist()):
+            judged.setdefault(r, set()).add(k)
+    out = []
+    for i, (text, lines) in enumerate(zip(texts.to_pylist(), gone.to_pylist())):
+        own, drop = judged.get(i), set(lines or ())
+        if not drop or text is None:
+            out.append(None)
+        elif not own:  # a row of this id that has none of the lines
+            out.append(text)
+        else:
+            out.append("\n".join(x for j, x in enumerate(text.split("\n")) if j not in drop) if own - drop else None)
+    return pa.array(out, pa.string())
+
+
 @F.arrow_udf(StringType())
 def _without(texts: pa.Array, gone: pa.Array) -> pa.Array:
-    """The texts without the lines of these numbers; null if of the lines that are judged none is left."""
-    out = texts.to_pylist()
-    rows = [i for i, g in enumerate(gone) if g.is_valid]
-    if rows:
-        judged: dict[int, set] = {}
-        for row, number, _, offsets, _ in _pieces(texts.take(pa.array(rows))):
-            for r, k in zip(row[ok := np.diff(offsets) >= MIN_WORDS].tolist(), number[ok].tolist()):
-                judged.setdefault(r, set()).add(k)
-        for k, i in enumerate(rows):
-            drop = set(gone[i].as_py())
-            out[i] = "\n".join(x for j, x in enumerate(out[i].split("\n")) if j not in drop) if judged.get(k, set()) - drop else None
-    return pa.array(out, pa.string())
+    """The texts without the lines of these numbers; null where no line goes, or of the lines that are judged none is left."""
+    parts = [_cut(texts.slice(lo, SLICE), gone.slice(lo, SLICE)) for lo in range(0, len(texts), SLICE)]
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
 
 def drop_lines(docs: DataFrame) -> DataFrame:
@@ -277,14 +293,15 @@ def drop_lines(docs: DataFrame) -> DataFrame:
     gone = duplicate_lines(docs).groupBy("doc_id").agg(F.collect_set("line_no").alias("lines"))
     gone = gone.select(F.col("doc_id").alias("__gone_id"), F.col("lines").alias("__gone_lines"))
     joined = docs.join(gone, docs["doc_id"].cast("long") == gone["__gone_id"], "left")
-    cut = F.when(F.col("__gone_lines").isNull(), docs["text"]).otherwise(_without(docs["text"].cast("string"), F.col("__gone_lines")))
-    out = joined.withColumn("__cut", cut).where(F.col("__gone_lines").isNull() | F.col("__cut").isNotNull())
+    same = F.col("__gone_lines").isNull() | docs["text"].isNull()
+    cut = F.when(same, docs["text"]).otherwise(_without(docs["text"].cast("string"), F.col("__gone_lines")))
+    out = joined.withColumn("__cut", cut).where(same | F.col("__cut").isNotNull())
     columns = []
     for c in docs.columns:
         if c == "text":
             columns.append(F.col("__cut").alias("text"))
         elif c == "n_chars":
-            columns.append(F.when(F.col("__gone_lines").isNull(), docs["n_chars"]).otherwise(F.length("__cut")).cast(docs.schema["n_chars"].dataType).alias("n_chars"))
+            columns.append(F.when(same, docs["n_chars"]).otherwise(F.length("__cut")).cast(docs.schema["n_chars"].dataType).alias("n_chars"))
         else:
             columns.append(docs[c])
     return out.select(*columns)

@@ -41,6 +41,12 @@ def test_lines_keep_columns_and_long_texts(spark, documents):
     assert linededup.drop_lines(documents([])).count() == 0
 
 
+def test_rows_that_share_an_id(spark, documents):
+    rows = [(1, BASE), (2, f"{BASE}\n{OTHER}"), (2, None), (2, ""), (3, BASE)]
+    got = sorted(((r.doc_id, r.text) for r in linededup.drop_lines(documents(rows)).collect()), key=repr)
+    assert got == sorted([(1, BASE), (2, OTHER), (2, None), (2, "")], key=repr)
+
+
 def test_edit_distance():
     rng = np.random.default_rng(2)
     for _ in range(300):
