@@ -229,7 +229,8 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     lines = keyed(docs).where("doc_id is not null").mapInArrow(_lines, LINES)
     # a window and a join ask for the same shuffle, so it is done once; an explicit repartition would be another
     ordered = lines.withColumn("n", F.row_number().over(Window.partitionBy("h").orderBy("doc_id", "line_no")))
-    pairs = ordered.mapInArrow(_variants, "key long, h long").repartition("key").sortWithinPartitions("key").mapInArrow(_pairs, "h1 long not null, h2 long not null").distinct()
+    # by the variant alone: lines under one variant meet whatever their sketches
+    pairs = ordered.mapInArrow(_variants, "key long, h long").repartition(F.shiftright("key", 24)).sortWithinPartitions("key").mapInArrow(_pairs, "h1 long not null, h2 long not null").distinct()
     wanted = pairs.select(F.explode(F.array("h1", "h2")).alias("h")).distinct()
     # the shuffle of lines by h is reused; only lines of some pair go on from here
     found = lines.join(wanted, "h", "left_semi").groupBy("h").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.max("words").alias("words"))

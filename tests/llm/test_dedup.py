@@ -47,6 +47,27 @@ def test_rows_that_share_an_id(spark, documents):
     assert got == sorted([(1, BASE), (2, OTHER), (2, None), (2, "")], key=repr)
 
 
+def test_lines_meet_whatever_the_partitions(spark, documents):
+    """One inserted, deleted or replaced word, against all pairs, over more partitions than a small table would get."""
+    rng, rows = np.random.default_rng(11), []
+    for i in range(60):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 20 + i % 15)]
+        at = int(rng.integers(0, len(words)))
+        near = words[:at] + [["new"], [], ["new", words[at]]][i % 3] + words[at + 1 :]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(near))]
+    want = brute.gone_lines(rows)
+    assert len(want) == 60
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        for n in (1, 64):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            assert {(r.doc_id, r.line_no) for r in linededup.duplicate_lines(documents(rows)).collect()} == want
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 def test_edit_distance():
     rng = np.random.default_rng(2)
     for _ in range(300):
