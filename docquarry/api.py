@@ -71,7 +71,7 @@ class VectorIndex:
             self._coded = X.quantized(self.vectors, self._quantizer, self.vector)
         return X.quantized_search(self._coded, self._quantizer, query, k, metric, self.id_col, None if codes_only else self.vector)
 
-    def clustered(self, query: Sequence[float], k: int = 10, metric: str = "cosine", clusters: int = 16, probes: int = 4) -> DataFrame:
+    def clustered(self, query: Sequence[float], k: int = 10, metric: str = "cosine", clusters: int = 16, probes: int | None = None) -> DataFrame:
         self._clusters = self._clusters or X.Clusters(self.vectors, clusters, vector=self.vector)
         return self._clusters.search(query, k, probes, metric, self.id_col, self.vector)
 

@@ -164,7 +164,13 @@ def int8_search(coded: DataFrame, query: Sequence[float], k: int, metric: str =
 
 
 class Clusters:
-    """k-means cells: a search looks into those nearest to the query."""
+    """k-means cells, each with what bounds its vectors: their number, the farthest from the centre, the widest angle to it.
+
+    A search looks into the cells in the order of their centres' distance to the
+    query until they hold k vectors, and from there on into all whose bound
+    reaches the k-th best score found, so it misses nothing; ``probes`` looks into
+    that many cells only, whatever is lost.
+    """
 
     def __init__(self, vectors: DataFrame, clusters: int = 16, seed: int = 42, vector: str = "embedding"):
         from pyspark.ml.clustering import KMeans
@@ -174,9 +180,55 @@ class Clusters:
         model = KMeans(k=clusters, seed=seed, maxIter=10, featuresCol="__v", predictionCol="cluster").fit(ready)
         self.centers = np.array(model.clusterCenters())
         self.assigned = model.transform(ready).drop("__v")
-
-    def search(self, query: Sequence[float], k: int, probes: int = 4, metric: str = "cosine", id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
-        near = np.argsort(((self.centers - np.array(query, float)) ** 2).sum(1))[:probes].tolist()
+        self.bounds: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+    def _bounds(self, vector: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """By cell: vectors, largest distance from the centre, largest angle to it (pi where one of the two has no length)."""
+        if vector not in self.bounds:
+            centers = self.centers
+
+            @F.arrow_udf("struct<far: double, wide: double>")
+            def spread(column: pa.Array, cluster: pa.Array) -> pa.Array:
+                x, c = _matrix(column, centers.shape[1]), centers[cluster.to_numpy()]
+                lengths = np.linalg.norm(x, axis=1) * np.linalg.norm(c, axis=1)
+                cosine = np.where(lengths > 0, (x * c).sum(1) / np.where(lengths > 0, lengths, 1), -1.0)
+                return pa.StructArray.from_arrays([pa.array(np.linalg.norm(x - c, axis=1)), pa.array(np.arccos(np.clip(cosine, -1, 1)))], ["far", "wide"])
+
+            rows = self.assigned.select("cluster", spread(vector, "cluster").alias("s")).groupBy("cluster").agg(F.count("*").alias("n"), F.max("s.far").alias("far"), F.max("s.wide").alias("wide")).collect()  # a row for each cell
+            n, far, wide = np.zeros(len(centers), np.int64), np.zeros(len(centers)), np.zeros(len(centers))
+            for r in rows:
+                n[r.cluster], far[r.cluster], wide[r.cluster] = r.n, r.far, r.wide
+            self.bounds[vector] = n, far, wide
+        return self.bounds[vector]
+
+    def cells(self, query: Sequence[float], k: int, metric: str = "cosine", id_col: str = "vec_id", vector: str = "embedding") -> list[int]:
+        """The cells that may hold one of the k best."""
+        n, far, wide = self._bounds(vector)
+        target = np.array(query, float)
+        length, lengths = np.linalg.norm(target), np.linalg.norm(self.centers, axis=1)
+        away = np.linalg.norm(self.centers - target, axis=1)
+        order = np.argsort(away, kind="stable")
+        first = order[: int(np.searchsorted(n[order].cumsum(), k)) + 1]
+        found = [r.score for r in vector_scores(self.assigned.where(F.col("cluster").isin(first.tolist())), query, k, vector, id_col, metric).collect()]  # at most k rows
+        if len(found) < k:
+            return order.tolist()
+        if metric == "l2":
+            best, worst = -np.maximum(0, away - far), -found[-1]
+        elif metric == "dot":
+            best, worst = self.centers @ target + length * far, found[-1]
+        else:
+            both = length * lengths
+            angle = np.arccos(np.clip(np.where(both > 0, self.centers @ target / np.where(both > 0, both, 1), 1.0), -1, 1))
+            best, worst = np.cos(np.maximum(0, angle - wide)), found[-1]
+            best = np.where(wide >= np.pi, 1.0, best)  # a vector without length scores 0
+        slack = 1e-6 * (1 + abs(worst))
+        return sorted({*first.tolist(), *np.flatnonzero((n > 0) & ~(best < worst - slack)).tolist()})
+
+    def search(self, query: Sequence[float], k: int, probes: int | None = None, metric: str = "cosine", id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
+        if probes is None:
+            near = self.cells(query, k, metric, id_col, vector)
+        else:
+            near = np.argsort(((self.centers - np.array(query, float)) ** 2).sum(1))[:probes].tolist()
         return vector_scores(self.assigned.where(F.col("cluster").isin(near)), query, k, vector, id_col, metric)
 
 

@@ -3,6 +3,7 @@ import pytest
 
 from docquarry.functions.vector import walsh_hadamard
 from docquarry.operators import vectors as X
+from docquarry.queries import _QUERY
 
 RNG = np.random.default_rng(1)
 POINTS = RNG.standard_normal((400, 32))
@@ -61,3 +62,32 @@ def test_clusters(table):
     c = X.Clusters(table, 8)
     assert {r.vec_id for r in c.search(POINTS[3], 5, probes=8).collect()} == best(POINTS[3], 5, "cosine")
     assert c.search(POINTS[3], 1, probes=1).first().vec_id == 3
+
+
+@pytest.mark.parametrize("metric", ["cosine", "dot", "l2"])
+def test_clusters_find_what_all_pairs_find(spark, data, metric):
+    """The registered table, with the default search."""
+    df = spark.read.parquet(f"{data}/embeddings.parquet").select("vec_id", "embedding").cache()
+    rows = df.orderBy("vec_id").collect()
+    ids, x = [r.vec_id for r in rows], np.array([r.embedding for r in rows], float)
+    c, hits = X.Clusters(df), 0
+    for query in [np.array(_QUERY), *x[:8]]:
+        lengths = np.linalg.norm(x, axis=1) * np.linalg.norm(query)
+        s = {"cosine": x @ query / lengths, "dot": x @ query, "l2": -np.linalg.norm(x - query, axis=1)}[metric]
+        want = {ids[i] for i in np.argsort(-s, kind="stable")[:10]}
+        hits += len(want & {r.vec_id for r in c.search(query.tolist(), 10, metric=metric).collect()})
+    assert hits >= 0.9 * 90
+
+
+def test_clusters_pass_over_far_cells(spark):
+    """Cells that are far apart: few are looked into and nothing is lost, vectors without length included."""
+    rng = np.random.default_rng(12)
+    centers = rng.standard_normal((8, 16)) * 20
+    points = np.concatenate([c + rng.standard_normal((40, 16)) for c in centers] + [np.zeros((3, 16))])
+    c = X.Clusters(spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "vec_id long, embedding array<double>"), 8)
+    for metric in ("cosine", "dot", "l2"):
+        for query in (points[5], -points[90], points[200] + 0.1):
+            lengths = np.linalg.norm(points, axis=1) * np.linalg.norm(query)
+            s = {"cosine": np.where(lengths > 0, points @ query / np.where(lengths > 0, lengths, 1), 0), "dot": points @ query, "l2": -np.linalg.norm(points - query, axis=1)}[metric]
+            assert [r.vec_id for r in c.search(query.tolist(), 50, metric=metric).collect()] == np.lexsort((np.arange(len(s)), -s))[:50].tolist()
+    assert len(c.cells(points[5].tolist(), 10, "l2")) < 4
