@@ -38,6 +38,31 @@ def test_pii_zones(model):
         assert model.find(text) == [e for z in zones for e in model.best(text, *z)]
 
 
+@pytest.mark.parametrize("iban", ["GB82 WEST 1234 5698 7654 32", "NL91 ABNA 0417 1643 00", "IE29 AIBK 9311 5212 3456 78", "RO49 AAAA 1B31 0075 9384 0000", "LV80 BANK 0000 4351 9500 1", "MT84 MALT 0110 0001 2345 MTLC AST0 01S", "MU17 BOMM 0101 1010 3030 0200 000M UR", "DE89 3704 0044 0532 0130 00"])
+def test_pii_printed_ibans(model, iban):
+    for s in (iban, iban.replace(" ", "")):
+        for before, after in (("", ""), ("Pay to ", " today"), ("IBAN: ", "."), ("(", "), thanks"), ("ver ", " THE END")):
+            text = before + s + after
+            assert model.find(text) == [(len(before), len(before) + len(s), "IBAN")], text
+
+
+def test_pii_capitals_are_no_iban(model):
+    rng, words = np.random.default_rng(13), ["WEST", "WING", "SALE", "ENDS", "SOON", "THE", "OF", "MORE", "2020", "NEWS"]
+    wrong = 0
+    for _ in range(300):
+        text = f"{''.join(rng.choice(list('ABCDEFGHKLMNRST'), 2))}{rng.integers(10, 99)} {' '.join(rng.choice(words, 5))}"
+        wrong += any(k == "IBAN" and not pii._mod97(text[a:b]) for a, b, k in model.find(text))
+    assert wrong < 6
+
+
+def test_pii_held_out_lands(model):
+    found = true = both = 0
+    for text, spans in pii.made_up(98, 300, tuple(pii.LETTERED)):
+        got, want = set(model.find(text)), set(spans)
+        found, true, both = found + len(got), true + len(want), both + len(got & want)
+    assert both / found > 0.97 and both / true > 0.97
+
+
 def test_pii_viterbi_is_best():
     rng = np.random.default_rng(0)
     for _ in range(30):
