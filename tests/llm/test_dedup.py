@@ -102,6 +102,28 @@ def test_estimate(spark):
     assert abs(np.mean(errors)) < 0.05 and np.abs(errors).max() < 0.2
 
 
+def exact_similarity(a, b):
+    """Probability Jaccard of two texts' weighted bigrams."""
+    x, y = (dict(zip(e.tolist(), w.tolist())) for _, e, w in (minhash.elements(h, o) for _, _, h, o in (next(common.hash_tokens(pa.array([t]))) for t in (a, b))))
+    union = sorted(set(x) | set(y))
+    p, q = (np.array([w.get(e, 0.0) for e in union]) for w in (x, y))
+    return sum(1 / np.maximum(p / p[i], q / q[i]).sum() for i in np.flatnonzero((p > 0) & (q > 0)))
+
+
+def test_recall_against_exact_similarity(spark, documents):
+    """Pairs of known similarity: clear copies are all found, clearly different texts never."""
+    rng, rows, true = np.random.default_rng(14), [], {}
+    for i in range(120):
+        words = [f"p{i}x{x}" for x in rng.integers(0, 150, 200)]
+        near = [w if rng.random() > 0.25 * (i % 12) / 12 else f"new{j}" for j, w in enumerate(words)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(near))]
+        true[2 * i + 1] = exact_similarity(rows[-2][1], rows[-1][1])
+    got = {r.doc_id: r.kept_doc_id for r in minhash.near_duplicates(documents(rows)).collect()}
+    assert all(k == d - 1 for d, k in got.items())
+    clear, far = {d for d, s in true.items() if s >= 0.7}, {d for d, s in true.items() if s < 0.4}
+    assert len(clear) > 30 and len(far) > 0 and clear <= set(got) and not far & set(got)
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(100, 200), (150, 200), (5, 5)], "a long, b long").where("a < b")
     got = {r.doc_id: r.kept_doc_id for r in minhash.components(edges).collect()}
