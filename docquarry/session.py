@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -36,8 +39,21 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder for intermediate tables; a temporary one only where none is set, as in tests."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docquarry-")).rstrip("/")
+    """The cluster's shared folder for intermediate tables, ``spark.checkpoint.dir``.
+
+    Where it is unset, one machine (``local``, as in tests) gets a folder of its own
+    for the session; a cluster has no folder that would do, which is an error.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    context = spark.sparkContext
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    if not hasattr(context, "_docquarry_folder"):
+        context._docquarry_folder = tempfile.mkdtemp(prefix="docquarry-")
+        atexit.register(shutil.rmtree, context._docquarry_folder, ignore_errors=True)
+    return context._docquarry_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
