@@ -8,7 +8,7 @@ brought back to the start of its token with the inverse power.
 
 from __future__ import annotations
 
-import tempfile
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,13 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpoint, table  # noqa: F401  (the operators take them from here)
+
 #: Base of the token hash; odd, so that it has an inverse modulo 2**64, and under 2**62, so that DuckDB's HUGEINT holds the products.
 BASE = 0x1E3779B97F4A7C15
 MASK = (1 << 64) - 1
 #: Text is worked on in pieces of about so many bytes, to bound memory.
-PIECE = 1 << 20
+PIECE = 1 << 18
 
-SPACE, WORD, PUNCT = 0, 1, 2
+SPACE, WORD, PUNCT, SINGLE = 0, 1, 2, 3
 _CLASS = np.full(256, PUNCT, np.uint8)
 _CLASS[[9, 10, 11, 12, 13, 32]] = SPACE
 _CLASS[0x80:] = WORD
@@ -52,50 +54,100 @@ def token_hash(token: str) -> int:
     return h
 
 
-def _hash_runs(buf: np.ndarray, starts: np.ndarray, punct: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and first bytes of the tokens of ``buf``; a token never crosses one of ``starts``."""
-    power, inverse = _powers()
+#: Scripts written without spaces between words; each of their characters is a token.
+_UNSPACED = ("HIRAGANA", "KATAKANA", "THAI", "LAO", "KHMER", "MYANMAR", "BOPOMOFO", "YI SYLLABLE", "TIBETAN", "HENTAIGANA", "NUSHU", "TANGUT")
+
+
+def _code_points() -> np.ndarray:
+    """The class of every code point: letters, digits and marks, white space, the rest, characters of scripts without spaces."""
+    if "class" not in _tables:
+        out = np.full(0x110000, PUNCT, np.uint8)
+        out[0xE0100:0xE01F0] = WORD  # variation marks
+        for a, b, to in ((0x3400, 0x4DC0, SINGLE), (0x4E00, 0xA000, SINGLE), (0xF900, 0xFB00, SINGLE), (0x17000, 0x18D00, SINGLE), (0x20000, 0x33480, SINGLE), (0xAC00, 0xD7A4, WORD), (0xE000, 0xF900, WORD)):
+            out[a:b] = to
+        for c in (c for a, b in ((0x80, 0x3400), (0xA000, 0xAC00), (0xD7A4, 0xD800), (0xFB00, 0x17000), (0x18D00, 0x20000)) for c in range(a, b)):
+            kind = unicodedata.category(ch := chr(c))
+            if kind[0] in "LNM" or kind in ("Pc", "Cf", "Sk"):  # joiners stay within words
+                out[c] = SINGLE if kind in ("Lo", "Lm") and c >= 0xE00 and unicodedata.name(ch, "").startswith(_UNSPACED) else WORD
+            elif ch.isspace():
+                out[c] = SPACE
+        out[0x80:0xA0] = WORD
+        out[[0x85, 0xA0, 0x200B, 0xFEFF]] = SPACE
+        _tables["class"] = out
+    return _tables["class"]
+
+
+def _edges(buf: np.ndarray, starts: np.ndarray, punct: bool, unicode: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The class of each byte and the borders of the runs, first and last included; no run crosses one of ``starts``."""
     n = len(buf)
     kind = (_CLASS if punct else _WORDS)[buf]
+    alone = None
+    if unicode and n and buf.max() >= 0xC2:
+        lead = np.flatnonzero(buf >= 0xC2)
+        b = buf[lead].astype(np.int32)
+        size = 2 + (b >= 0xE0) + (b >= 0xF0)
+        last = n - 1
+        point = np.where(b < 0xE0, b & 0x1F, np.where(b < 0xF0, b & 0x0F, b & 0x07))
+        for k in (1, 2, 3):
+            point = np.where(size > k, point << 6 | buf[np.minimum(lead + k, last)] & 0x3F, point)
+        cls = _code_points()[np.minimum(point, 0x10FFFF)]
+        other = cls != WORD
+        if other.any():
+            lead, size, cls = lead[other], size[other], cls[other]
+            alone = np.concatenate([lead[cls == SINGLE], (lead + size)[cls == SINGLE]])
+            byte = np.where(cls == SINGLE, WORD, cls) if punct else np.where(cls == SINGLE, WORD, SPACE)
+            for k in range(4):
+                kind[(lead + k)[size > k]] = byte[size > k]
     change = np.empty(n + 1, bool)
     change[0] = change[n] = True
     np.not_equal(kind[1:], kind[:-1], out=change[1:n])
     change[starts] = True
-    at = np.flatnonzero(change)
+    if alone is not None:
+        change[alone] = True
+    return kind, np.flatnonzero(change)
+
+
+def _hash_runs(buf: np.ndarray, starts: np.ndarray, punct: bool, unicode: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and first bytes of the tokens of ``buf``; a token never crosses one of ``starts``."""
+    kind, at = _edges(buf, starts, punct, unicode)
     first, last = at[:-1], at[1:]
     keep = kind[first] != SPACE
     first, last = first[keep], last[keep]
-    total = np.empty(n + 1, np.uint64)
+    return _spans(buf, first, last), first
+
+
+def _spans(buf: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    power, inverse = _powers()
+    total = np.empty(len(buf) + 1, np.uint64)
     total[0] = 0
-    np.cumsum(_LOWER[buf] * power[:n], out=total[1:])
-    return (total[last] - total[first]) * inverse[first], first
+    np.cumsum(_LOWER[buf] * power[: len(buf)], out=total[1:])
+    return (total[last] - total[first]) * inverse[first]
 
 
-def _long(buf: np.ndarray, punct: bool) -> np.ndarray:
+def _long(buf: np.ndarray, punct: bool, unicode: bool) -> np.ndarray:
     """Hashes of one text of any length, cut between tokens."""
-    out, at = [], 0
-    table = _CLASS if punct else _WORDS
-    while at < len(buf):
-        end = min(at + PIECE, len(buf))
-        if end < len(buf):
-            step = 1024
-            while step <= end - at:  # the last place before end where the class changes
-                kind = table[buf[end - step : end + 1]]
-                cuts = np.flatnonzero(kind[1:] != kind[:-1])
-                if len(cuts):
-                    end = end - step + int(cuts[-1]) + 1
-                    break
-                step *= 4
-            else:  # one token of more than PIECE bytes
-                run = table[buf[at:]] != table[buf[at]]
-                end = at + int(run.argmax()) if run.any() else len(buf)
-                if end - at > 2 * PIECE:
-                    out.append(np.array([token_hash_bytes(buf[at:end])], np.uint64) if table[buf[at]] else np.empty(0, np.uint64))
-                    at = end
-                    continue
-        h, _ = _hash_runs(buf[at:end], np.zeros(1, np.int64), punct)
-        out.append(h)
-        at = end
+    out, at, n, none = [], 0, len(buf), np.zeros(1, np.int64)
+    while at < n:
+        size = PIECE
+        while True:
+            end = min(at + size, n)
+            while end < n and buf[end] & 0xC0 == 0x80:  # within a character
+                end -= 1
+            kind, edges = _edges(buf[at:end], none, punct, unicode)
+            if end == n or len(edges) > 2:
+                break
+            size *= 4
+        if size > PIECE:  # a run of more than PIECE bytes comes first
+            stop = int(edges[1])
+            if kind[0] != SPACE:
+                out.append(np.array([token_hash_bytes(buf[at : at + stop])], np.uint64))
+        else:
+            if end < n:  # the last run may go on
+                edges = edges[:-1]
+            stop = int(edges[-1])
+            keep = kind[edges[:-1]] != SPACE
+            out.append(_spans(buf[at : at + stop], edges[:-1][keep], edges[1:][keep]))
+        at += stop
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
@@ -110,12 +162,14 @@ def token_hash_bytes(buf: np.ndarray) -> int:
     return h
 
 
-def hash_tokens(texts: pa.Array, punct: bool = False) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def hash_tokens(texts: pa.Array, punct: bool = False, unicode: bool = False) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, hashes, offsets into the hashes by row) over pieces of a string array.
 
     A null text has no tokens.  Word bytes are ASCII letters, digits, ``_`` and
     everything from 0x80; ASCII letters are lower-cased.  With ``punct`` a run of
-    other bytes that aren't white space is a token too.
+    other bytes that aren't white space is a token too.  With ``unicode`` what isn't
+    ASCII is told apart as well: white space and punctuation end a word, and a
+    character of a script without spaces is a token of its own.
     """
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
@@ -132,13 +186,13 @@ def hash_tokens(texts: pa.Array, punct: bool = False) -> Iterator[tuple[int, int
         end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + PIECE, "right")) - 1)
         lo, hi = offsets[row], offsets[end]
         if hi - lo > 2 * PIECE:
-            h = _long(data[lo:hi], punct)
+            h = _long(data[lo:hi], punct, unicode)
             yield row, end, h, np.array([0, len(h)])
         elif hi == lo:
             yield row, end, np.empty(0, np.uint64), np.zeros(end - row + 1, np.int64)
         else:
             starts = offsets[row : end + 1] - lo
-            h, first = _hash_runs(data[lo:hi], starts, punct)
+            h, first = _hash_runs(data[lo:hi], starts, punct, unicode)
             yield row, end, h, np.searchsorted(first, starts)
         row = end
 
@@ -159,20 +213,6 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder, with its lineage cut."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))  # unset only in tests
-    return df.checkpoint()
-
-
-def table(spark, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def unit_hash(*cols, seed: str = "") -> "F.Column":
     """A number in (0, 1) made from the columns' text; the same in any engine that has MD5."""
     text = F.concat_ws(":", F.lit(seed), *[c.cast("string") for c in cols])

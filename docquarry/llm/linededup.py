@@ -1,23 +1,31 @@
 """Line dedup by a deletion-neighbourhood join.
 
-A line is its sequence of words (see ``hash_tokens``: ASCII case and punctuation
-don't count).  Lines of fewer than ``MIN_WORDS`` words are never judged.  Two
-lines match when their edit distance in words is at most ``bound(n)``, n being
-the words of the shorter one: 0 under 8 words, then n // 8, at most 3.  A line
-goes if an earlier one, by (doc_id, line number), matches it; it is said to be a
-copy of the earliest such line (for an exact copy: of the first of its kind).
-
-Equal lines meet by their hash.  For the rest, of at most 3 edits at most one
-falls into the first or into the last words of a line, so two lines that match
-share, in one of these two blocks, a variant with one word deleted.  Every line
-emits the hashed variants of both blocks with a band of its length; equal ones
-are joined, pairs whose word counts differ too much are passed over, and the
-distance of the rest is verified over the whole lines.
+A line is its sequence of words (see ``hash_tokens`` with ``unicode``: case of A to Z
+and punctuation don't count, a character of a script without spaces is a word).
+Lines of fewer than ``min_words`` words are never judged.  Two lines match when their
+edit distance in words is at most ``bound(n)``, n being the words of the shorter one:
+0 under 8 words, then n // 8, at most 3.  A line goes if an earlier one, by (doc_id,
+line number), matches it; it is said to be a copy of the earliest such line (for an
+exact copy: of the first of its kind).
+
+Equal lines meet by two 64-bit hashes: the first of each kind is found with a limit
+inside every task before the shuffle, and the copies are joined with the firsts, a
+join whose hot keys adaptive execution splits.  For the rest, of at most 3 edits at
+most one falls into the first or into the last words of a line, so two lines that
+match share, in one of these two blocks, a variant with one word deleted.  Every line
+emits the hashed variants of both blocks with a band of its length; equal ones are
+joined, pairs whose word counts differ too much are passed over, and the distance of
+the rest is verified over the whole lines.
+
+A variant that more than ``HOT`` lines share isn't paired off: its lines are cut into
+blocks of ``CELL`` by their hash, every two blocks meet in a cell of their own, with
+the lines' words, and a cell gives each line's earliest match, not all pairs.
 
 Defined cases: null and empty texts have no lines that are judged; documents
 with a null id are passed through and never compared; rows that repeat a doc_id
-count as one document, so a line isn't a copy of itself in such a row; an empty
-table gives an empty one.  Other columns are left as they are.
+count as one document, so a line isn't a copy of itself in such a row; lines that tie
+in every word are copies of the earliest; a text or line may be of any length; an
+empty table gives an empty one.  Other columns are left as they are.
 """
 
 from __future__ import annotations
@@ -34,26 +42,33 @@ from pyspark.sql.types import StringType
 from .common import hash_tokens, keyed
 
 MIN_WORDS, WORDS_PER_EDIT, MAX_EDITS, BAND = 4, 8, 3, 16
-SLICE = 512
+SLICE, HOT, CELL = 512, 256, 2048
 _C, _D, _E = np.uint64(0x16E8FEB86659FD93), np.uint64(0x20761D6478BD642F), np.uint64(0x2127599BF4325C37)
-LINES = "h long not null, doc_id long, line_no int, words binary"
+_F = np.uint64(0x9FB21C651E98DF25)
+PLACES = "h long not null, h2 long not null, doc_id long, line_no int"
+LINES = PLACES + ", words binary"
 
 
 def bound(n: int) -> int:
     return min(MAX_EDITS, n // WORDS_PER_EDIT)
 
 
-def _line_hashes(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def _line_hashes(h: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each line that have no constant in common."""
     n = np.diff(offsets)
-    power = np.full(int(n.max(initial=0)) + 1, _D)
-    power[0] = 1
-    np.multiply.accumulate(power, out=power)
-    mixed = h * _C
-    mixed ^= mixed >> np.uint64(31)
-    total = np.zeros(len(h) + 1, np.uint64)
-    np.cumsum(mixed * power[np.arange(len(h)) - np.repeat(offsets[:-1], n)], out=total[1:])
-    out = (total[offsets[1:]] - total[offsets[:-1]] + n.astype(np.uint64)) * _E
-    return out ^ (out >> np.uint64(29))
+    place = np.arange(len(h)) - np.repeat(offsets[:-1], n)
+    out = []
+    for mix, base, end in ((_C, _D, _E), (_F, _E, _C)):
+        power = np.full(int(n.max(initial=0)) + 1, base)
+        power[0] = 1
+        np.multiply.accumulate(power, out=power)
+        mixed = h * mix
+        mixed ^= mixed >> np.uint64(31)
+        total = np.zeros(len(h) + 1, np.uint64)
+        np.cumsum(mixed * power[place], out=total[1:])
+        whole = (total[offsets[1:]] - total[offsets[:-1]] + n.astype(np.uint64)) * end
+        out.append((whole ^ (whole >> np.uint64(29))).view(np.int64))
+    return out[0], out[1]
 
 
 def _short(h: np.ndarray) -> np.ndarray:
@@ -61,16 +76,16 @@ def _short(h: np.ndarray) -> np.ndarray:
     return ((h * _C) >> np.uint64(32)).astype(np.uint32)
 
 
-def _pieces(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(row of each line, its number, word hashes, their offsets, line hashes), a piece of the lines at a time."""
+def _pieces(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(row of each line, its number, word hashes, their offsets), a piece of the lines at a time."""
     lists = pc.split_pattern(texts.cast(pa.large_string()).fill_null(""), "\n")
     lines = lists.flatten()
     ends = np.asarray(lists.offsets)
     ends = ends - ends[0]
     row = np.repeat(np.arange(len(texts)), np.diff(ends))
     number = np.arange(len(lines)) - ends[row]
-    for lo, hi, h, offsets in hash_tokens(lines):
-        yield row[lo:hi], number[lo:hi], h, offsets, _line_hashes(h, offsets)
+    for lo, hi, h, offsets in hash_tokens(lines, unicode=True):
+        yield row[lo:hi], number[lo:hi], h, offsets
 
 
 def _slices(batches):
@@ -78,18 +93,29 @@ def _slices(batches):
     for batch in batches:
         for lo in range(0, len(batch), SLICE):
             yield batch.slice(lo, SLICE)
-
-
-def _lines(batches):
-    for batch in _slices(batches):
-        ids = batch.column(0)
-        for row, number, h, offsets, whole in _pieces(batch.column(1)):
-            n = np.diff(offsets)
-            at = np.flatnonzero(n >= MIN_WORDS)
-            words = _short(h)
-            long = n[at] >= WORDS_PER_EDIT  # shorter lines are matched by their hash alone
-            parts = [words[a:b].tobytes() if k else None for a, b, k in zip(offsets[at], offsets[at + 1], long)]
-            yield pa.RecordBatch.from_arrays([pa.array(whole[at].view(np.int64)), ids.take(pa.array(row[at])), pa.array(number[at].astype(np.int32)), pa.array(parts, pa.binary())], ["h", "doc_id", "line_no", "words"])
+        pa.default_memory_pool().release_unused()
+
+
+def _lines(min_words: int, with_words: bool):
+    def run(batches):
+        for batch in _slices(batches):
+            ids = batch.column(0)
+            for row, number, h, offsets in _pieces(batch.column(1)):
+                n = np.diff(offsets)
+                at = np.flatnonzero(n >= min_words)
+                whole, other = _line_hashes(h, offsets)
+                cols = [pa.array(whole[at]), pa.array(other[at]), ids.take(pa.array(row[at])), pa.array(number[at].astype(np.int32))]
+                if with_words:
+                    n[n < WORDS_PER_EDIT] = 0  # shorter lines are matched by their hashes alone
+                    long = np.repeat(n > 0, np.diff(offsets))
+                    buffer = np.ascontiguousarray(_short(h)[long])
+                    # under 2**31 bytes: a piece, or one line
+                    starts = pa.py_buffer(np.r_[0, np.cumsum(4 * n)].astype(np.int32))
+                    words = pa.Array.from_buffers(pa.binary(), len(n), [None, starts, pa.py_buffer(buffer)])
+                    cols.append(pc.if_else(pa.array(n[at] > 0), words.take(pa.array(at)), None))
+                yield pa.RecordBatch.from_arrays(cols, ["h", "h2", "doc_id", "line_no", "words"][: len(cols)])
+
+    return run
 
 
 def _sketch(words: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -101,19 +127,12 @@ def _sketch(words: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def _variants(batches):
-    """For each line: key, of which the low 24 bits are the sketch, and h.  The input is sorted by h; the first of a kind does."""
-    last = None
+    """For each line (h, words): key, of which the low 24 bits are the sketch, and h."""
     for batch in batches:
-        whole = batch.column(0).to_numpy()
-        new = np.ones(len(whole), bool)
-        new[1:] = whole[1:] != whole[:-1]
-        if len(whole):
-            new[0] = last is None or whole[0] != last
-            last = whole[-1]
-        batch = batch.filter(pa.array(new & batch.column(3).is_valid().to_numpy(zero_copy_only=False)))
+        batch = batch.filter(batch.column(1).is_valid())
         if not len(batch):
             continue
-        whole, column = batch.column(0).to_numpy(), batch.column(3)
+        whole, column = batch.column(0).to_numpy(), batch.column(1)
         offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
         words = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(np.uint32)
         offsets = (offsets - offsets[0]) // 4
@@ -148,11 +167,27 @@ def _close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _pairs(batches):
-    """Pairs of lines under one key; the input is sorted by key."""
-    rest_k, rest_h = np.empty(0, np.uint64), np.empty(0, np.int64)
+    """(h1, h2, null): pairs of lines under one key; (h, null, key): lines under a key that more than HOT have.  The input is sorted by key."""
+    none = np.empty(0, np.int64)
+    rest_k, rest_h, hot = none, none, None
+
+    def rows(h1, h2, key):
+        nothing = lambda x: pa.nulls(len(x), pa.int64())
+        parts = [pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), nothing(h1)], ["h1", "h2", "key"])] if len(h1) else []
+        return parts + ([pa.RecordBatch.from_arrays([pa.array(key[1]), nothing(key[0]), pa.array(key[0])], ["h1", "h2", "key"])] if len(key[0]) else [])
 
     def of(key, h):
-        group, found = key >> np.uint64(24), []
+        nonlocal hot
+        group, found = key >> 24, [np.empty((2, 0), np.int64)]
+        start = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        size = np.diff(np.r_[start, len(key)])
+        crowded = size > HOT
+        crowded[0] |= group[0] == hot
+        wide = np.repeat(crowded, size)
+        if wide.any():
+            hot = int(group[-1]) if crowded[-1] else None
+        many = (group[wide], h[wide])
+        key, h, group = key[~wide].view(np.uint64), h[~wide], group[~wide]
         at, step = np.arange(len(key)), 0
         while True:
             step += 1
@@ -162,20 +197,26 @@ def _pairs(batches):
                 break
             ok = at[_close(key[at], key[at + step]) & (h[at] != h[at + step])]
             found.append(np.stack([np.minimum(h[ok], h[ok + step]), np.maximum(h[ok], h[ok + step])]))
-        both = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.empty((2, 0), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["h1", "h2"])
+        both = np.concatenate(found, axis=1)
+        if both.shape[1]:
+            order = np.lexsort(both)
+            both = both[:, order]
+            both = both[:, np.r_[True, (both[:, 1:] != both[:, :-1]).any(0)]]
+        return rows(both[0], both[1], many)
 
     for batch in batches:
-        key = np.concatenate([rest_k, batch.column(0).to_numpy().view(np.uint64)])
+        key = np.concatenate([rest_k, batch.column(0).to_numpy()])
         h = np.concatenate([rest_h, batch.column(1).to_numpy()])
         if not len(key):
             continue
-        whole = int(np.searchsorted(key.view(np.int64) >> 24, key.view(np.int64)[-1] >> 24))  # the last group may go on
+        whole = int(np.searchsorted(key >> 24, key[-1] >> 24))  # the last group may go on
+        if len(key) - whole > HOT:
+            whole = len(key)  # it is hot in any case
         if whole:
-            yield of(key[:whole], h[:whole])
+            yield from of(key[:whole], h[:whole])
         rest_k, rest_h = key[whole:], h[whole:]
     if len(rest_k):
-        yield of(rest_k, rest_h)
+        yield from of(rest_k, rest_h)
 
 
 def distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
@@ -210,65 +251,161 @@ def distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
     return most + 1
 
 
+def _ragged(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The words of all lines, and where each line's begin."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]].view(np.uint32)
+    return data, (offsets - offsets[0]) // 4
+
+
+def _agree(a: np.ndarray, from_a: np.ndarray, b: np.ndarray, from_b: np.ndarray, most: np.ndarray, way: int) -> np.ndarray:
+    """How many words from these places on, forwards or backwards, are the same, up to ``most``."""
+    pair = np.repeat(np.arange(len(most)), most)
+    step = (np.arange(len(pair)) - np.repeat(np.cumsum(most) - most, most)) * way
+    differ = np.flatnonzero(a[from_a[pair] + step] != b[from_b[pair] + step])
+    first, at = np.unique(pair[differ], return_index=True)
+    out = most.copy()
+    out[first] = np.abs(step[differ[at]])
+    return out
+
+
+def distances(one: pa.Array, two: pa.Array) -> np.ndarray:
+    """Edit distance of each pair of lines, or MAX_EDITS + 1 if over the pair's bound: equal ends are cut off for all at once."""
+    a, at_a = _ragged(one)
+    b, at_b = _ragged(two)
+    n, m = np.diff(at_a), np.diff(at_b)
+    most = np.minimum(MAX_EDITS, np.minimum(n, m) // WORDS_PER_EDIT)
+    out = np.full(len(n), MAX_EDITS + 1)
+    open_ = np.flatnonzero(np.abs(n - m) <= most)
+    size = np.cumsum(np.minimum(n, m)[open_])
+    for k in range(0, int(size[-1]) + 1 if len(size) else 0, 1 << 21):  # pieces, to bound memory
+        own = open_[(size >= k) & (size < k + (1 << 21))]
+        if not len(own):
+            continue
+        x, y, short = n[own], m[own], np.minimum(n, m)[own]
+        head = _agree(a, at_a[own], b, at_b[own], short, 1)
+        tail = _agree(a, at_a[own] + x - 1, b, at_b[own] + y - 1, short - head, -1)
+        x, y = x - head - tail, y - head - tail
+        easy = (np.minimum(x, y) == 0) | (np.maximum(x, y) == 1)
+        out[own[easy]] = np.maximum(x, y)[easy]
+        for i, p, q, r, t, limit in zip(*(v[~easy].tolist() for v in (own, at_a[own] + head, x, at_b[own] + head, y, most[own]))):
+            out[i] = distance(a[p : p + q], b[r : r + t], limit)
+    out[out > most] = MAX_EDITS + 1
+    return out
+
+
 def _verify(batches):
     for batch in batches:
-        keep, far = [], []
-        for i, (x, y) in enumerate(zip(batch.column("w1"), batch.column("w2"))):
-            a, b = np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32)
-            most = bound(min(len(a), len(b)))
-            d = distance(a, b, most)
-            if d <= most:
-                keep.append(i)
-                far.append(d)
-        out = batch.select(["d1", "l1", "d2", "l2"]).take(pa.array(keep, pa.int64()))
-        yield pa.RecordBatch.from_arrays([*out.columns, pa.array(far, pa.int32())], ["d1", "l1", "d2", "l2", "distance"])
-
-
-def duplicate_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, h, kept_doc_id, kept_line_no, distance) of every line that goes; h is the line's hash."""
-    lines = keyed(docs).where("doc_id is not null").mapInArrow(_lines, LINES)
-    # a window and a join ask for the same shuffle, so it is done once; an explicit repartition would be another
-    ordered = lines.withColumn("n", F.row_number().over(Window.partitionBy("h").orderBy("doc_id", "line_no")))
+        far = distances(batch.column("w1"), batch.column("w2"))
+        keep = np.flatnonzero(far <= MAX_EDITS)
+        out = batch.select(["d1", "l1", "d2", "l2"]).take(pa.array(keep))
+        yield pa.RecordBatch.from_arrays([*out.columns, pa.array(far[keep].astype(np.int32))], ["d1", "l1", "d2", "l2", "distance"])
+
+
+def _bags(words: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The words of each line counted, modulo 256, in 64 classes."""
+    n = len(offsets) - 1
+    cell = np.repeat(np.arange(n), np.diff(offsets)) * 64 + (words & 63)
+    return np.bincount(cell, minlength=64 * n).reshape(n, 64).astype(np.uint8)
+
+
+def earliest(block: np.ndarray, words: np.ndarray, offsets: np.ndarray, across: bool) -> tuple[np.ndarray, np.ndarray]:
+    """For each line the first one before it that matches, or -1, and the distance; with ``across`` only lines of another block count."""
+    n, bags = np.diff(offsets), _bags(words, offsets)
+    first, far = np.full(len(n), -1), np.zeros(len(n), np.int32)
+    open_ = np.arange(len(n))
+    for p in range(len(n)):
+        open_ = open_[open_ > p]
+        if not len(open_):
+            break
+        near = open_[np.abs(n[open_] - n[p]) <= MAX_EDITS]
+        if across:
+            near = near[block[near] != block[p]]
+        most = np.minimum(MAX_EDITS, np.minimum(n[near], n[p]) // WORDS_PER_EDIT)
+        near = near[np.abs((bags[near] - bags[p]).view(np.int8)).sum(1, dtype=np.int64) <= 2 * most]
+        own = words[offsets[p] : offsets[p + 1]]
+        for q in near.tolist():
+            limit = bound(int(min(n[p], n[q])))
+            d = distance(own, words[offsets[q] : offsets[q + 1]], limit)
+            if d <= limit:
+                first[q], far[q] = p, d
+        open_ = open_[first[open_] < 0]
+    return first, far
+
+
+def _cells(batches):
+    """The input, (key, i, j, block, doc_id, line_no, words), is sorted by cell, then by place."""
+    held: list[pa.RecordBatch] = []
+
+    def of():
+        t = pa.Table.from_batches(held).combine_chunks()
+        block, doc, line = (t.column(k).to_numpy() for k in ("block", "doc_id", "line_no"))
+        words, offsets = _ragged(t.column("words").chunk(0))
+        first, far = earliest(block, words, offsets, t.column("i")[0] != t.column("j")[0])
+        own = np.flatnonzero(first >= 0)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[first[own]], line[first[own]], doc[own], line[own], far[own])], ["d1", "l1", "d2", "l2", "distance"])
+
+    for batch in batches:
+        at = [batch.column(k).to_numpy() for k in range(3)]
+        new = np.zeros(len(batch), bool)
+        for x in at:
+            new[1:] |= x[1:] != x[:-1]
+        cuts = [0, *np.flatnonzero(new).tolist(), len(batch)]
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            if lo == hi:
+                continue
+            if held and any(held[-1].column(k)[-1].as_py() != at[k][lo] for k in range(3)):
+                yield of()
+                held = []
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield of()
+
+
+_NEAR = "d1 long, l1 int, d2 long, l2 int, distance int"
+
+
+def _crowds(hot: DataFrame, found: DataFrame) -> DataFrame:
+    """The earliest matches among lines (key, h) under keys that many share, in cells of two blocks."""
+    sizes = hot.groupBy("key").agg(F.count("*").alias("c"))
+    blocks = F.ceil(F.col("c") / F.lit(CELL)).cast("int")
+    dealt = hot.join(sizes, "key").select("key", "h", blocks.alias("blocks"), F.pmod(F.xxhash64("h"), blocks).cast("int").alias("block"))
+    sent = dealt.select("key", "h", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x"))
+    sent = sent.select("key", F.least("x", "block").alias("i"), F.greatest("x", "block").alias("j"), "block", "h")
+    full = sent.join(found, "h").select("key", "i", "j", "block", "doc_id", "line_no", "words")
+    return full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "doc_id", "line_no").mapInArrow(_cells, _NEAR)
+
+
+def duplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, line_no, kept_doc_id, kept_line_no, distance) of every line that goes."""
+    own = keyed(docs).where("doc_id is not null")
+    # one row for each kind of line; the limit to one works inside each task before the shuffle too
+    by_kind = Window.partitionBy("h").orderBy("h2", "doc_id", "line_no")
+    firsts = own.mapInArrow(_lines(min_words, True), LINES).withColumn("n", F.row_number().over(by_kind)).where("n = 1").drop("n")
     # by the variant alone: lines under one variant meet whatever their sketches
-    pairs = ordered.mapInArrow(_variants, "key long, h long").repartition(F.shiftright("key", 24)).sortWithinPartitions("key").mapInArrow(_pairs, "h1 long not null, h2 long not null").distinct()
-    wanted = pairs.select(F.explode(F.array("h1", "h2")).alias("h")).distinct()
-    # the shuffle of lines by h is reused; only lines of some pair go on from here
-    found = lines.join(wanted, "h", "left_semi").groupBy("h").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.max("words").alias("words"))
-    one = found.select(F.col("h").alias("h1"), F.col("at.doc_id").alias("d1"), F.col("at.line_no").alias("l1"), F.col("words").alias("w1"))
-    two = found.select(F.col("h").alias("h2"), F.col("at.doc_id").alias("d2"), F.col("at.line_no").alias("l2"), F.col("words").alias("w2"))
-    near = pairs.join(one, "h1").join(two, "h2").select("h1", "h2", "d1", "l1", "w1", "d2", "l2", "w2")
-    near = near.mapInArrow(_verify, "d1 long, l1 int, d2 long, l2 int, distance int")
+    variants = firsts.select("h", "words").mapInArrow(_variants, "key long, h long").repartition(F.shiftright("key", 24)).sortWithinPartitions("key")
+    pairs = variants.mapInArrow(_pairs, "h1 long not null, h2 long, key long").distinct()
+    wanted = pairs.select(F.explode(F.array("h1", "h2")).alias("h")).where("h is not null").distinct()
+    # the shuffle of the firsts by h is reused; only lines of some pair go on from here
+    found = firsts.join(wanted, "h", "left_semi").select("h", "doc_id", "line_no", "words")
+    one = found.select(F.col("h").alias("h1"), F.col("doc_id").alias("d1"), F.col("line_no").alias("l1"), F.col("words").alias("w1"))
+    two = found.select(F.col("h").alias("h2"), F.col("doc_id").alias("d2"), F.col("line_no").alias("l2"), F.col("words").alias("w2"))
+    near = pairs.where("key is null").select("h1", "h2").join(one, "h1").join(two, "h2").select("d1", "l1", "w1", "d2", "l2", "w2").mapInArrow(_verify, _NEAR)
+    near = near.unionByName(_crowds(pairs.where("key is not null").select("key", F.col("h1").alias("h")), found))
     first, second = F.struct(F.col("d1").alias("doc_id"), F.col("l1").alias("line_no")), F.struct(F.col("d2").alias("doc_id"), F.col("l2").alias("line_no"))
     near = near.select(F.greatest(first, second).alias("own"), F.least(first, second).alias("kept"), "distance").groupBy("own").agg(F.min(F.struct("kept", "distance")).alias("k"))
     near = near.select("own.doc_id", "own.line_no", F.col("k.kept.doc_id").alias("kept_doc_id"), F.col("k.kept.line_no").alias("kept_line_no"), F.col("k.distance").alias("distance"))
-    exact = ordered.mapInArrow(_copies, "doc_id long, line_no int, kept_doc_id long, kept_line_no int")
-    return exact.withColumn("distance", F.lit(0)).unionByName(near)
+    kept = firsts.select("h", F.col("h2").alias("k2"), F.col("doc_id").alias("kept_doc_id"), F.col("line_no").alias("kept_line_no"))
+    places = own.mapInArrow(_lines(min_words, False), PLACES)
+    elsewhere = (F.col("doc_id") != F.col("kept_doc_id")) | (F.col("line_no") != F.col("kept_line_no"))  # at the same place: a row that repeats
+    copies = places.join(kept, "h").where((F.col("h2") == F.col("k2")) & elsewhere).select("doc_id", "line_no", "kept_doc_id", "kept_line_no")
+    return copies.withColumn("distance", F.lit(0)).unionByName(near)
 
 
-def _copies(batches):
-    """Later lines of equal hash; the input is sorted by h, doc_id, line_no."""
-    last = None  # h, doc_id, line_no of the first of its kind
-    for batch in batches:
-        n = len(batch)
-        if not n:
-            continue
-        h, doc, line = (batch.column(i).to_numpy() for i in range(3))
-        new = np.ones(n, bool)
-        new[1:] = h[1:] != h[:-1]
-        new[0] = last is None or h[0] != last[0]
-        start = np.maximum.accumulate(np.where(new, np.arange(n), -1))
-        kept_doc, kept_line = doc[start], line[start]
-        if start[0] < 0:
-            kept_doc[start < 0], kept_line[start < 0] = last[1], last[2]
-        last = h[-1], kept_doc[-1], kept_line[-1]
-        gone = (doc != kept_doc) | (line != kept_line)  # at the same place: a row that repeats
-        yield pa.RecordBatch.from_arrays([pa.array(x[gone]) for x in (doc, line, kept_doc, kept_line)], ["doc_id", "line_no", "kept_doc_id", "kept_line_no"])
-
-
-def _cut(texts: pa.Array, gone: pa.Array) -> pa.Array:
+def _cut(texts: pa.Array, gone: pa.Array, min_words: int) -> pa.Array:
     judged: dict[int, set] = {}
-    for row, number, _, offsets, _ in _pieces(texts):
-        for r, k in zip(row[ok := np.diff(offsets) >= MIN_WORDS].tolist(), number[ok].tolist()):
+    for row, number, _, offsets in _pieces(texts):
+        for r, k in zip(row[ok := np.diff(offsets) >= min_words].tolist(), number[ok].tolist()):
             judged.setdefault(r, set()).add(k)
     out = []
     for i, (text, lines) in enumerate(zip(texts.to_pylist(), gone.to_pylist())):
@@ -282,20 +419,23 @@ def _cut(texts: pa.Array, gone: pa.Array) -> pa.Array:
     return pa.array(out, pa.string())
 
 
-@F.arrow_udf(StringType())
-def _without(texts: pa.Array, gone: pa.Array) -> pa.Array:
-    """The texts without the lines of these numbers; null where no line goes, or of the lines that are judged none is left."""
-    parts = [_cut(texts.slice(lo, SLICE), gone.slice(lo, SLICE)) for lo in range(0, len(texts), SLICE)]
-    return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+def _without(min_words: int):
+    @F.arrow_udf(StringType())
+    def without(texts: pa.Array, gone: pa.Array) -> pa.Array:
+        """The texts without the lines of these numbers; null where no line goes, or of the lines that are judged none is left."""
+        parts = [_cut(texts.slice(lo, SLICE), gone.slice(lo, SLICE), min_words) for lo in range(0, len(texts), SLICE)]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+
+    return without
 
 
-def drop_lines(docs: DataFrame) -> DataFrame:
+def drop_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` without the lines that go.  A document all of whose judged lines go, goes; ``n_chars``, if there, is the new length."""
-    gone = duplicate_lines(docs).groupBy("doc_id").agg(F.collect_set("line_no").alias("lines"))
+    gone = duplicate_lines(docs, min_words).groupBy("doc_id").agg(F.collect_set("line_no").alias("lines"))
     gone = gone.select(F.col("doc_id").alias("__gone_id"), F.col("lines").alias("__gone_lines"))
     joined = docs.join(gone, docs["doc_id"].cast("long") == gone["__gone_id"], "left")
     same = F.col("__gone_lines").isNull() | docs["text"].isNull()
-    cut = F.when(same, docs["text"]).otherwise(_without(docs["text"].cast("string"), F.col("__gone_lines")))
+    cut = F.when(same, docs["text"]).otherwise(_without(min_words)(docs["text"].cast("string"), F.col("__gone_lines")))
     out = joined.withColumn("__cut", cut).where(same | F.col("__cut").isNotNull())
     columns = []
     for c in docs.columns:

@@ -68,6 +68,68 @@ def test_lines_meet_whatever_the_partitions(spark, documents):
             spark.conf.set(k, v)
 
 
+def test_crowded_variants(spark, documents):
+    """More lines under one variant than are paired off, some of them near copies, in one cell and in several."""
+    rng = np.random.default_rng(12)
+    head, rows = "these six words begin every line", []
+    for i in range(300):
+        words = [f"w{x}" for x in rng.integers(0, 4000, 14 + i % 12)]
+        rows.append((i, f"{head} {' '.join(words)}"))
+        if i % 3 == 0:
+            words[int(rng.integers(0, len(words)))] = "new"
+            rows.append((1000 + i, f"{head} {' '.join(words)}"))
+    rows += [(2000 + i, f"page {i} of the very same book") for i in range(300)]
+    rows += [(3000 + i, f"all of these begin alike number {i % 2150} {'x' if i % 7 else 'y'}") for i in range(2160)]
+    want = brute.gone_lines(rows[:-2160]) | brute.gone_lines(rows[-2160:])  # the last ones share too few words with the others
+    assert sum(1 for d, _ in want if d < 3000) > 300 and sum(1 for d, _ in want if d >= 3000) > 1000
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        for n in (1, 7):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            assert {(r.doc_id, r.line_no) for r in linededup.duplicate_lines(documents(rows)).collect()} == want
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_earliest_matches_of_a_cell():
+    rng = np.random.default_rng(15)
+    lines = [rng.integers(0, 3, rng.integers(8, 20)).astype(np.uint32) for _ in range(120)]
+    block, offsets = rng.integers(0, 2, 120), np.r_[0, np.cumsum([len(x) for x in lines])]
+    for across in (False, True):
+        first, far = linededup.earliest(block, np.concatenate(lines), offsets, across)
+        for q in range(120):
+            want = [(p, d) for p in range(q) if not (across and block[p] == block[q]) and (d := brute.edit_distance(lines[p].tolist(), lines[q].tolist())) <= linededup.bound(min(len(lines[p]), len(lines[q])))]
+            assert (first[q], far[q]) == (want[0] if want else (-1, 0))
+
+
+def test_distances_of_many_pairs():
+    rng = np.random.default_rng(16)
+    one, two = [], []
+    for _ in range(400):
+        a = rng.integers(0, 6, rng.integers(8, 40)).astype(np.uint32)
+        b = a.tolist()
+        for _ in range(int(rng.integers(0, 5))):
+            at = int(rng.integers(0, len(b)))
+            b[at : at + int(rng.integers(0, 2))] = rng.integers(0, 6, rng.integers(0, 2)).tolist()
+        one.append(a), two.append(np.array(b, np.uint32))
+    got = linededup.distances(*(pa.array([x.tobytes() for x in side], pa.binary()) for side in (one, two)))
+    for x, y, d in zip(one, two, got):
+        true, most = brute.edit_distance(x.tolist(), y.tolist()), linededup.bound(min(len(x), len(y)))
+        assert d == (true if true <= most else linededup.MAX_EDITS + 1)
+
+
+CJK = "春が来ると山の雪が解けて川の水が増える"
+
+
+def test_scripts_without_spaces(spark, documents):
+    assert [len(h) for _, _, h, _ in common.hash_tokens(pa.array(["日本語。「引用」 “foo”\u00a0bar…baz 한국어"]), unicode=True)] == [9]
+    rows = [(1, CJK), (2, CJK + "。"), (3, "一二三四五六七八九十" + CJK), (4, CJK.replace("川", "谷")), (5, "“quoted”\u00a0words… here"), (6, "quoted words here"), (7, "one “quoted”\u00a0word… here"), (8, "one quoted word here"), (9, "สวัสดีครับผม"), (10, "สวัสดีครับผม")]
+    assert {r.doc_id for r in linededup.duplicate_lines(documents(rows)).collect()} == {2, 4, 8, 10}
+    assert {r.doc_id for r in linededup.duplicate_lines(documents(rows), min_words=1).collect()} == {2, 4, 6, 8, 10}
+
+
 def test_edit_distance():
     rng = np.random.default_rng(2)
     for _ in range(300):
