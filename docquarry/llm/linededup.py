@@ -43,6 +43,8 @@ from .common import hash_tokens, keyed
 
 MIN_WORDS, WORDS_PER_EDIT, MAX_EDITS, BAND = 4, 8, 3, 16
 SLICE, HOT, CELL = 512, 256, 2048
+#: The low bits of a variant's key: 24 of the line's sketch, then 2 of its bound.
+LOW = 26
 _C, _D, _E = np.uint64(0x16E8FEB86659FD93), np.uint64(0x20761D6478BD642F), np.uint64(0x2127599BF4325C37)
 _F = np.uint64(0x9FB21C651E98DF25)
 PLACES = "h long not null, h2 long not null, doc_id long, line_no int"
@@ -127,7 +129,7 @@ def _sketch(words: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def _variants(batches):
-    """For each line (h, words): key, of which the low 24 bits are the sketch, and h."""
+    """For each line (h, words): key, of which the low bits are the bound and the sketch, and h."""
     for batch in batches:
         batch = batch.filter(batch.column(1).is_valid())
         if not len(batch):
@@ -136,7 +138,8 @@ def _variants(batches):
         offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
         words = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(np.uint32)
         offsets = (offsets - offsets[0]) // 4
-        n, sketch = np.diff(offsets), _sketch(words, offsets)
+        n = np.diff(offsets)
+        low = _sketch(words, offsets) | np.minimum(MAX_EDITS, n // WORDS_PER_EDIT).astype(np.uint64) << np.uint64(24)
         for shift in (0, MAX_EDITS):
             band = (n + shift) // BAND
             fresh = np.ones(len(n), bool) if not shift else band != n // BAND
@@ -153,17 +156,17 @@ def _variants(batches):
                             if j != gone:
                                 key = (key ^ block[:, j]) * _C
                                 key ^= key >> np.uint64(32)
-                        key = (key * _E) & ~np.uint64(0xFFFFFF) | sketch[at]
+                        key = (key * _E) & ~np.uint64((1 << LOW) - 1) | low[at]
                         yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(whole[at])], ["key", "h"])
 
 
 def _close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether two sketches allow MAX_EDITS edits."""
+    """Whether the sketches in two keys allow as many edits as the lesser bound: an edit changes two counts at most."""
     total = np.zeros(len(a), np.uint64)
     for s in range(0, 24, 3):
         d = ((a >> np.uint64(s)) - (b >> np.uint64(s))) & np.uint64(7)
         total += np.minimum(d, np.uint64(8) - d)
-    return total <= 2 * MAX_EDITS
+    return total <= np.uint64(2) * (np.minimum(a & np.uint64((1 << LOW) - 1), b & np.uint64((1 << LOW) - 1)) >> np.uint64(24))
 
 
 def _pairs(batches):
@@ -178,7 +181,7 @@ def _pairs(batches):
 
     def of(key, h):
         nonlocal hot
-        group, found = key >> 24, [np.empty((2, 0), np.int64)]
+        group, found = key >> LOW, [np.empty((2, 0), np.int64)]
         start = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
         size = np.diff(np.r_[start, len(key)])
         crowded = size > HOT
@@ -209,7 +212,7 @@ def _pairs(batches):
         h = np.concatenate([rest_h, batch.column(1).to_numpy()])
         if not len(key):
             continue
-        whole = int(np.searchsorted(key >> 24, key[-1] >> 24))  # the last group may go on
+        whole = int(np.searchsorted(key >> LOW, key[-1] >> LOW))  # the last group may go on
         if len(key) - whole > HOT:
             whole = len(key)  # it is hot in any case
         if whole:
@@ -362,6 +365,16 @@ def _cells(batches):
         yield of()
 
 
+def _either(crowded: bool):
+    def run(batches):
+        """Of what ``_pairs`` gives the pairs alone, or the rest; done here, as a condition would move below the shuffle and double the work."""
+        for batch in batches:
+            yield batch.filter(batch.column(2).is_valid() if crowded else batch.column(1).is_valid())
+
+    return run
+
+
+_PAIRS = "h1 long not null, h2 long, key long"
 _NEAR = "d1 long, l1 int, d2 long, l2 int, distance int"
 
 
@@ -383,19 +396,20 @@ def duplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     by_kind = Window.partitionBy("h").orderBy("h2", "doc_id", "line_no")
     firsts = own.mapInArrow(_lines(min_words, True), LINES).withColumn("n", F.row_number().over(by_kind)).where("n = 1").drop("n")
     # by the variant alone: lines under one variant meet whatever their sketches
-    variants = firsts.select("h", "words").mapInArrow(_variants, "key long, h long").repartition(F.shiftright("key", 24)).sortWithinPartitions("key")
-    pairs = variants.mapInArrow(_pairs, "h1 long not null, h2 long, key long").distinct()
+    variants = firsts.select("h", "words").mapInArrow(_variants, "key long, h long").repartition(F.shiftright("key", LOW)).sortWithinPartitions("key")
+    pairs = variants.mapInArrow(_pairs, _PAIRS).distinct()
     wanted = pairs.select(F.explode(F.array("h1", "h2")).alias("h")).where("h is not null").distinct()
     # the shuffle of the firsts by h is reused; only lines of some pair go on from here
     found = firsts.join(wanted, "h", "left_semi").select("h", "doc_id", "line_no", "words")
     one = found.select(F.col("h").alias("h1"), F.col("doc_id").alias("d1"), F.col("line_no").alias("l1"), F.col("words").alias("w1"))
     two = found.select(F.col("h").alias("h2"), F.col("doc_id").alias("d2"), F.col("line_no").alias("l2"), F.col("words").alias("w2"))
-    near = pairs.where("key is null").select("h1", "h2").join(one, "h1").join(two, "h2").select("d1", "l1", "w1", "d2", "l2", "w2").mapInArrow(_verify, _NEAR)
-    near = near.unionByName(_crowds(pairs.where("key is not null").select("key", F.col("h1").alias("h")), found))
+    near = pairs.mapInArrow(_either(False), _PAIRS).select("h1", "h2").join(one, "h1").join(two, "h2").select("d1", "l1", "w1", "d2", "l2", "w2").mapInArrow(_verify, _NEAR)
+    near = near.unionByName(_crowds(pairs.mapInArrow(_either(True), _PAIRS).select("key", F.col("h1").alias("h")), found))
     first, second = F.struct(F.col("d1").alias("doc_id"), F.col("l1").alias("line_no")), F.struct(F.col("d2").alias("doc_id"), F.col("l2").alias("line_no"))
     near = near.select(F.greatest(first, second).alias("own"), F.least(first, second).alias("kept"), "distance").groupBy("own").agg(F.min(F.struct("kept", "distance")).alias("k"))
     near = near.select("own.doc_id", "own.line_no", F.col("k.kept.doc_id").alias("kept_doc_id"), F.col("k.kept.line_no").alias("kept_line_no"), F.col("k.distance").alias("distance"))
-    kept = firsts.select("h", F.col("h2").alias("k2"), F.col("doc_id").alias("kept_doc_id"), F.col("line_no").alias("kept_line_no"))
+    # the words are of no use here, but without them this would be another shuffle of the firsts
+    kept = firsts.where(F.coalesce(F.length("words"), F.lit(0)) >= 0).select("h", F.col("h2").alias("k2"), F.col("doc_id").alias("kept_doc_id"), F.col("line_no").alias("kept_line_no"))
     places = own.mapInArrow(_lines(min_words, False), PLACES)
     elsewhere = (F.col("doc_id") != F.col("kept_doc_id")) | (F.col("line_no") != F.col("kept_line_no"))  # at the same place: a row that repeats
     copies = places.join(kept, "h").where((F.col("h2") == F.col("k2")) & elsewhere).select("doc_id", "line_no", "kept_doc_id", "kept_line_no")

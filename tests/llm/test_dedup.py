@@ -78,7 +78,7 @@ def test_crowded_variants(spark, documents):
         if i % 3 == 0:
             words[int(rng.integers(0, len(words)))] = "new"
             rows.append((1000 + i, f"{head} {' '.join(words)}"))
-    rows += [(2000 + i, f"page {i} of the very same book") for i in range(300)]
+    rows += [(2000 + i, f"page {i} of the very same old book") for i in range(300)]
     rows += [(3000 + i, f"all of these begin alike number {i % 2150} {'x' if i % 7 else 'y'}") for i in range(2160)]
     want = brute.gone_lines(rows[:-2160]) | brute.gone_lines(rows[-2160:])  # the last ones share too few words with the others
     assert sum(1 for d, _ in want if d < 3000) > 300 and sum(1 for d, _ in want if d >= 3000) > 1000
