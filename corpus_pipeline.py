@@ -8,13 +8,13 @@ one stage's tasks at most.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from docquarry.llm import linededup, minhash, packing, pii, quality
 from docquarry.llm.common import table
+from docquarry.session import shared_folder
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,10 +50,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    folder = f"{(shared or tempfile.mkdtemp(prefix='pipeline-')).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    """(bin_group, bin, doc_id, piece, n_tokens, text); the tables of the stages before the last are deleted once they are of no use."""
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
         docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        if k:
+            path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{k - 1}-{STAGES[k - 1][0]}")
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     return docs
