@@ -31,6 +31,7 @@ _CLASS[0x80:] = WORD
 for _a, _b in ((48, 58), (65, 91), (97, 123), (95, 96)):
     _CLASS[_a:_b] = WORD
 _WORDS = np.where(_CLASS == WORD, WORD, SPACE).astype(np.uint8)
+_UNITS = np.where(_CLASS == SPACE, SPACE, WORD).astype(np.uint8)
 _LOWER = np.arange(256, dtype=np.uint64)
 _LOWER[65:91] += 32
 _tables: dict[str, np.ndarray] = {}
@@ -77,10 +78,13 @@ def _code_points() -> np.ndarray:
     return _tables["class"]
 
 
-def _edges(buf: np.ndarray, starts: np.ndarray, punct: bool, unicode: bool) -> tuple[np.ndarray, np.ndarray]:
-    """The class of each byte and the borders of the runs, first and last included; no run crosses one of ``starts``."""
+def _edges(buf: np.ndarray, starts: np.ndarray, punct: bool | None, unicode: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The class of each byte and the borders of the runs, first and last included; no run crosses one of ``starts``.
+
+    ``punct`` None: whatever isn't white space is of one class.
+    """
     n = len(buf)
-    kind = (_CLASS if punct else _WORDS)[buf]
+    kind = (_UNITS if punct is None else _CLASS if punct else _WORDS)[buf]
     alone = None
     if unicode and n and buf.max() >= 0xC2:
         lead = np.flatnonzero(buf >= 0xC2)
@@ -95,7 +99,7 @@ def _edges(buf: np.ndarray, starts: np.ndarray, punct: bool, unicode: bool) -> t
         if other.any():
             lead, size, cls = lead[other], size[other], cls[other]
             alone = np.concatenate([lead[cls == SINGLE], (lead + size)[cls == SINGLE]])
-            byte = np.where(cls == SINGLE, WORD, cls) if punct else np.where(cls == SINGLE, WORD, SPACE)
+            byte = np.where((cls == SINGLE) | (cls == PUNCT) & (punct is None), WORD, cls if punct else SPACE)
             for k in range(4):
                 kind[(lead + k)[size > k]] = byte[size > k]
     change = np.empty(n + 1, bool)
@@ -197,6 +201,26 @@ def hash_tokens(texts: pa.Array, punct: bool = False, unicode: bool = False) ->
         row = end
 
 
+def unit_starts(buf: np.ndarray, every: int) -> tuple[int, list[int]]:
+    """How many units a text has, runs between white space or single characters of scripts without spaces, and the first bytes of units 0, every, 2 * every, ..."""
+    n, at, count, out, size = len(buf), 0, 0, [], PIECE
+    while at < n:
+        end = min(at + size, n)
+        while end < n and buf[end] & 0xC0 == 0x80:  # within a character
+            end -= 1
+        kind, edges = _edges(buf[at:end], np.zeros(1, np.int64), None, True)
+        if end < n:
+            if len(edges) == 2:  # one run so far
+                size *= 4
+                continue
+            edges = edges[:-1]  # the last run may go on
+        first = edges[:-1][kind[edges[:-1]] != SPACE] + at
+        out += first[-count % every :: every].tolist()
+        count += len(first)
+        at, size = at + int(edges[-1]), PIECE
+    return count, out
+
+
 def sums_by_row(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Sum of ``values`` between neighbouring offsets."""
     total = np.zeros(len(values) + 1, np.float64)

@@ -4,7 +4,9 @@ One automaton over all rules' keywords runs through the texts' bytes (ASCII lett
 in lower case); a rule's pattern is tried only where one of its keywords begins, and
 must match from there.  Where a kind of secret carries its own check it is computed:
 the CRC-32 at the end of GitHub and npm tokens, the JSON header of a web token.  A
-match that fails its check isn't reported.
+match that fails its check isn't reported.  The other kinds carry none (their letters
+and lengths are all there is to test).  A secret may be of any length; a private key
+is reported up to its END line, or its BEGIN line alone where there is no other.
 
 Defined cases: null and empty texts have no secrets; a null id is carried; rows that
 repeat report theirs as often as they come; matches of one rule don't overlap, the
@@ -59,12 +61,12 @@ RULES = (
     ("aws_access_key", ("akia", "asia"), _L + rb"A(?:KI|SI)A[A-Z2-7]{16}" + _R, None),
     ("github_token", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), _L + rb"gh[pousr]_[A-Za-z0-9]{36}" + _R, _crc),
     ("npm_token", ("npm_",), _L + rb"npm_[A-Za-z0-9]{36}" + _R, _crc),
-    ("slack_token", ("xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-"), _L + rb"xox[abprs]-[0-9A-Za-z-]{10,72}" + _R, None),
-    ("stripe_key", ("sk_live_", "rk_live_"), _L + rb"[sr]k_live_[0-9A-Za-z]{24,99}" + _R, None),
+    ("slack_token", ("xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-"), _L + rb"xox[abprs]-[0-9A-Za-z-]{10,}" + _R, None),
+    ("stripe_key", ("sk_live_", "rk_live_"), _L + rb"[sr]k_live_[0-9A-Za-z]{24,}" + _R, None),
     ("google_api_key", ("aiza",), _L + rb"AIza[0-9A-Za-z_-]{35}(?![0-9A-Za-z_-])", None),
     ("web_token", ("eyj",), _L + rb"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", _header),
-    ("private_key", ("-----begin",), rb"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY-----", None),
-    ("assignment", ("api_key", "apikey", "access_key", "token", "secret", "password", "passwd"), _L + rb"""(?i:api_?key|access_key|token|secret|password|passwd)["']?[ \t]{0,4}[:=][ \t]{0,4}(?:"[^"\s]{8,200}"|'[^'\s]{8,200}'|[A-Za-z0-9+/_=.-]{16,200})""", None),
+    ("private_key", ("-----begin",), rb"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY-----(?:[A-Za-z0-9+/=\s:,.-]*?-----END (?:[A-Z0-9]+ ){0,3}PRIVATE KEY-----)?", None),
+    ("assignment", ("api_key", "apikey", "access_key", "token", "secret", "password", "passwd"), _L + rb"""(?i:api_?key|access_key|token|secret|password|passwd)["']?[ \t]{0,4}[:=][ \t]{0,4}(?:"[^"\s]{8,}"|'[^'\s]{8,}'|[A-Za-z0-9+/_=.-]{16,})""", None),
 )
 
 
@@ -116,9 +118,12 @@ def scan(texts: pa.Array):
                 by_row.setdefault(r, []).extend((start - int(offsets[r]), rule) for rule in rules)
         for r in sorted(by_row):
             own = piece[int(offsets[r]) - base : int(offsets[r + 1]) - base]
-            for rule, a, b in find(own, by_row[r]):
-                a_char = len(own[:a].decode())
-                yield r, rule, a_char, a_char + len(own[a:b].decode("utf-8", "replace"))
+            found = find(own, by_row[r])
+            if found and not own.isascii():  # bytes to characters
+                at = np.r_[0, np.cumsum(np.frombuffer(own, np.uint8) & 0xC0 != 0x80)]
+                found = [(rule, int(at[a]), int(at[b])) for rule, a, b in found]
+            for rule, a, b in found:
+                yield r, rule, a, b
         row = stop
 
 
