@@ -39,7 +39,8 @@ from pyspark.sql.types import StringType
 from .common import keyed
 
 KINDS = ("O", "EMAIL", "PHONE", "IP", "CARD", "SSN", "IBAN")
-MAX_ATOMS, MAX_CHARS = 24, 120
+#: Bounds of an entity; the longest kind is an address, of 64 + 1 + 255 characters.
+MAX_ATOMS, MAX_CHARS = 64, 320
 _ATOM = re.compile(r"[^\W\d_]+|\d+|\s+|.", re.S)
 _TRIGGER = re.compile(r"[\d@]+")
 #: The head of a printed IBAN, at the end of a word, and the groups after it, some of which may be letters alone.
@@ -47,11 +48,12 @@ _HEAD = re.compile(r"(?<![^\W_])[A-Z]{2}[0-9]{2}$")
 _REST = re.compile(r"(?: [A-Z0-9]{1,4}){1,8}(?![^\W_])")
 _EMAIL = re.compile(r"[\w.%+-]+@(?:[\w-]+\.)+[^\W\d_]{2,}")
 _IP = re.compile(r"\d{1,3}(?:\.\d{1,3}){3}")
-_PHONE = re.compile(r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}")
-_CARD = re.compile(r"\d{13,19}|\d{4}(?:[ -]\d{4}){3}")
+_IP6 = re.compile(r"(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=(?:[0-9A-Fa-f]*:){2,7}[0-9A-Fa-f]+$)(?:[0-9A-Fa-f]{1,4}:)+(?::[0-9A-Fa-f]{1,4})+")
+_PHONE = re.compile(r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}|0\d{4} \d{6}")
+_CARD = re.compile(r"\d{13,19}|\d{4}(?:[ -]\d{4}){3}|3[47]\d{2}([ -])\d{6}\1\d{5}")
 _SSN = re.compile(r"\d{3}-\d{2}-\d{4}")
 _IBAN = re.compile(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?")
-FEATURES = ("bias", "email", "ip", "phone", "card", "ssn", "iban", "octets", "luhn", "mod97", "plus", "paren", "letters", "space", "at", "one_at", "quote", "cut_left", "cut_right", "tail_dot", "first_other", "last_other", "colon", "slash", "d0", "d1_3", "d4_6", "d7_9", "d10_12", "d13_19", "d20", "g1", "g2", "g3", "g4", "g5", "dots3", "key_before", "wordy_digits")
+FEATURES = ("bias", "email", "ip", "phone", "card", "ssn", "iban", "octets", "luhn", "mod97", "plus", "paren", "letters", "space", "at", "one_at", "quote", "cut_left", "cut_right", "tail_dot", "first_other", "last_other", "colon", "slash", "d0", "d1_3", "d4_6", "d7_9", "d10_12", "d13_19", "d20", "g1", "g2", "g3", "g4", "g5", "dots3", "key_before", "wordy_digits", "ip6")
 _F = {name: i for i, name in enumerate(FEATURES)}
 
 
@@ -80,7 +82,7 @@ def features(text: str, a: int, b: int) -> list[int]:
     for name, has in (
         ("email", _EMAIL.fullmatch(s)), ("ip", ip := _IP.fullmatch(s)), ("phone", _PHONE.fullmatch(s)), ("card", card := _CARD.fullmatch(s)), ("ssn", _SSN.fullmatch(s)), ("iban", iban := _IBAN.fullmatch(s)),
         ("octets", ip and all(int(x) < 256 for x in s.split("."))), ("luhn", card and luhn(digits)), ("mod97", iban and s.isascii() and _mod97(s)),
-        ("plus", s[0] == "+"), ("paren", "(" in s), ("letters", any(c.isalpha() for c in s)), ("space", any(c.isspace() for c in s)), ("at", "@" in s), ("one_at", s.count("@") == 1), ("quote", '"' in s or "'" in s or "=" in s),
+        ("ip6", s.count(":") > 1 and _IP6.fullmatch(s)), ("plus", s[0] == "+"), ("paren", "(" in s), ("letters", any(c.isalpha() for c in s)), ("space", any(c.isspace() for c in s)), ("at", "@" in s), ("one_at", s.count("@") == 1), ("quote", '"' in s or "'" in s or "=" in s),
         ("cut_left", a and (text[a - 1].isalnum() or text[a - 1] in "@._%+-" and a > 1 and text[a - 2].isalnum())), ("cut_right", b < len(text) and (text[b].isalnum() or text[b] in "@._%+-" and b + 1 < len(text) and text[b + 1].isalnum())),
         ("tail_dot", s[-1] in ".,;:!?"), ("first_other", not (s[0].isalnum() or s[0] in "+(")), ("last_other", not s[-1].isalnum()), ("colon", ":" in s), ("slash", "/" in s), ("dots3", s.count(".") == 3),
         ("key_before", a and text[a - 1] in "\"'=#$€"), ("wordy_digits", n and not _EMAIL.fullmatch(s) and any(c.isalpha() for c in s)),
@@ -239,6 +241,8 @@ def made_up(seed: int, n: int, lands: tuple[str, ...] = LANDS) -> list[tuple[str
         while True:
             s = r.choice("3456") + d(r.choice((14, 15, 15, 15)))
             if luhn(s) == valid:
+                if lands != LANDS and len(s) == 15 and s[:2] in ("34", "37"):
+                    return f"{s[:4]} {s[4:10]} {s[10:]}"
                 return s if r.random() < 0.8 or len(s) != 16 else r.choice(" -").join(s[i : i + 4] for i in (0, 4, 8, 12))
 
     def iban() -> str:
@@ -265,7 +269,11 @@ def made_up(seed: int, n: int, lands: tuple[str, ...] = LANDS) -> list[tuple[str
                 return s
 
     if lands != LANDS:
-        fake += (capitals,) * 5
+        fake += (capitals,) * 5 + (lambda: f"{r.randint(0, 23)}:{d(2)}:{d(2)}", lambda: f"{word()}::{word()}{d(1)}", lambda: ":".join(f"{r.randint(0, 255):02x}" for _ in range(6)))
+        six = lambda: ":".join(f"{r.randint(0, 0xFFFF):x}" for _ in range(8))
+        real["IP"] = lambda: r.choice((ip, six, lambda: f"{six()[:9].rsplit(':', 1)[0]}::{r.randint(1, 0xFFFF):x}"))()
+        plain = real["PHONE"]
+        real["PHONE"] = lambda: plain() if r.random() < 0.8 else f"0{d(4)} {d(6)}"
     out = []
     for _ in range(n):
         text, spans = word(), []
