@@ -16,7 +16,8 @@ and no pair is passed over.
 
 Defined cases: texts without words (null, empty, punctuation only) have no
 signature and stay; rows with a null id stay; a row that repeats another, id and
-text, is dropped; rows of one id are one document; a single long text is hashed
+text, with or without words, is dropped (the first by its other columns' JSON stays);
+rows of one id are one document; a single long text is hashed
 in pieces and is as long as it likes; an empty table gives an empty one.
 """
 
@@ -88,7 +89,7 @@ def signatures(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n: int,
 def _sign(batches):
     for batch in batches:
         ids = batch.column(0)
-        for lo, hi, h, offsets in hash_tokens(batch.column(1)):
+        for lo, hi, h, offsets in hash_tokens(batch.column(1), unicode=True):
             for a in range(0, hi - lo, 1 << _DOC_BITS):
                 o = offsets[a : a + (1 << _DOC_BITS) + 1]
                 doc, element, weight = elements(h[o[0] : o[-1]], o - o[0])
@@ -194,7 +195,8 @@ def components(edges: DataFrame, most: int = 100) -> DataFrame:
     """(doc_id, kept_doc_id) of all but the least document of each connected group; ``edges`` has a < b.
 
     Alternating large and small stars: each round points every document to the
-    least one it sees, until nothing changes.
+    least one it sees, until nothing changes; the rounds grow with the logarithm of
+    the longest chain, so ``most`` of them are an error.
     """
     now = checkpoint(edges.select(F.col("b").alias("u"), F.col("a").alias("v")).where("u > v").distinct())
     by_u = Window.partitionBy("u")
@@ -202,14 +204,14 @@ def components(edges: DataFrame, most: int = 100) -> DataFrame:
     for _ in range(most):
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == mark:
-            break
+            return now.select(F.col("u").alias("doc_id"), F.col("v").alias("kept_doc_id"))
         mark = seen
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v"))).withColumn("m", F.least("u", F.min("v").over(by_u)))
         large = both.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
         small = large.withColumn("m", F.min("v").over(by_u))
         small = small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         now = checkpoint(small.select("e.u", "e.v").where("u > v").distinct())
-    return now.select(F.col("u").alias("doc_id"), F.col("v").alias("kept_doc_id"))
+    raise RuntimeError(f"the groups still change after {most} rounds")
 
 
 def _signed(docs: DataFrame) -> DataFrame:
@@ -236,8 +238,12 @@ def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataF
     """``docs`` with one document of each group; columns as they are."""
     signed = _signed(docs)
     gone = _duplicates(signed, threshold).select(F.col("doc_id").alias("__gone"))
-    if signed.groupBy("doc_id", "rep").count().where("count > 1").limit(1).count():  # some rows repeat
-        w = Window.partitionBy("doc_id", F.md5(docs["text"].cast("string"))).orderBy(F.lit(0))
-        once = docs.withColumn("__n", F.row_number().over(w)).where(F.col("doc_id").isNull() | (F.col("__n") == 1))
-        docs = once.drop("__n")
+    # rows that repeat an id and a text, found by the ids alone first: a hot id's rows meet only where some do repeat
+    again = docs.groupBy(docs["doc_id"].alias("__id"), F.xxhash64(docs["text"].cast("string")).alias("__hash")).agg(F.count("*").alias("__rows")).where("__id is not null and __rows > 1")
+    some = again.select("__id").distinct()
+    names = [c for c in docs.columns if c not in ("doc_id", "text")]
+    order = [F.to_json(F.struct(*(F.col(f"`{c}`") for c in names)))] if names else [F.lit(0)]
+    w = Window.partitionBy("doc_id", F.md5(docs["text"].cast("string")), docs["text"].isNull()).orderBy(*order)
+    once = docs.join(some, docs["doc_id"] == some["__id"], "left_semi").withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    docs = docs.join(some, docs["doc_id"] == some["__id"], "left_anti").unionByName(once)
     return docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")
