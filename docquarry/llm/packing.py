@@ -1,18 +1,20 @@
 """Best-fit packing of documents into windows of a fixed number of tokens.
 
-A document's length is its number of words between white space.  What is longer
-than a window is cut into pieces of one window and a rest, so whole texts are
-packed.  Documents are dealt to groups by a hash of their id; each group, of
-about ``group_size`` pieces, is packed on its own: best fit decreasing, then a
-local search over the bins that aren't full.  From the emptiest bin on, pieces move into
-a fuller bin with room for them, or are exchanged one for one for a smaller piece,
-or two for one, so that the sum of squared fills grows with every step; rounds go
-on until one finds no step.  A bin that has lost its last piece is gone.
+A token here is a word between white space or, in scripts without spaces, a character.
+What is longer than a window is cut into pieces of one window and a rest, and each
+piece carries its text, so whole texts are packed.  Pieces are dealt to groups by a
+hash of id, piece and the row's place among those of its id; each group, of about
+``group_size`` pieces, is packed on its own: best fit decreasing, then a local search
+over the bins that aren't full.  From the emptiest bin on, pieces move into a fuller
+bin with room for them, or are exchanged one for one for a smaller piece, or two for
+one, so that the sum of squared fills grows with every step; rounds go on until one
+finds no step.  A bin that has lost its last piece is gone.
 
 Defined cases: texts without words (null, empty, white space) have length 0 and
-aren't packed; a null id goes to the group of the empty id; rows that repeat are
-packed as often as they come; equal lengths go by id and piece; an empty table
-gives an empty result.  Other columns aren't read.
+aren't packed; a null id is carried; rows that repeat are packed as often as they
+come, a third of all rows under one id over as many groups as others; equal lengths
+go by id and piece; an empty table gives an empty result; texts may be of any length.
+Other columns aren't read.
 """
 
 from __future__ import annotations
@@ -24,9 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed
+from .common import keyed, unit_starts
 
-CAPACITY, GROUP_SIZE, MOST_TASKS = 2048, 8192, 20_000
+CAPACITY, GROUP_SIZE = 2048, 8192
+#: Partitions of the shuffle; groups beyond that share one, one after the other.
+PARTITIONS = 20_000
+#: Rows of a batch that goes back, as they carry text.
+_ROWS = 512
+PIECES = "deal long, doc_id long, piece int, size int, text string"
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -127,45 +134,76 @@ def pack(sizes: list[int], capacity: int) -> list[list[int]]:
     return _Search(sizes, best_fit(sizes, capacity), capacity).run()
 
 
+def _mixed(*parts: int) -> int:
+    h = 0
+    for x in parts:
+        h = (h ^ x) * 0x9E3779B97F4A7C15 & (1 << 64) - 1
+        h ^= h >> 29
+    return h >> 1
+
+
+def _cut(capacity: int):
+    def run(batches):
+        """The pieces of each text; a piece's text goes up to the next piece."""
+        seen: dict[int | None, int] = {}
+        for batch in batches:
+            for at in range(0, len(batch), _ROWS):
+                rows = []
+                for i, text in zip(batch.column(0).slice(at, _ROWS).to_pylist(), batch.column(1).slice(at, _ROWS)):
+                    data = text.as_buffer() if text.is_valid else b""
+                    n, starts = unit_starts(np.frombuffer(data, np.uint8), capacity) if len(data) else (0, [])
+                    if not n:
+                        continue
+                    if len(seen) > 100_000:
+                        seen.clear()
+                    turn = seen[i] = seen.get(i, -1) + 1
+                    for p, (a, b) in enumerate(zip(starts, [*starts[1:], len(data)])):
+                        rows.append((_mixed(i or 0, i is None, p, turn), i, p, min(capacity, n - p * capacity), data[a:b].to_pybytes().decode()))
+                cols = list(zip(*rows)) or [[]] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string()))], ["deal", "doc_id", "piece", "size", "text"])
+
+    return run
+
+
 def _pack_groups(capacity: int):
-    def emit(group: int, ids: list, piece: list, size: list):
+    names = ["bin_group", "bin", "doc_id", "piece", "n_tokens", "text"]
+
+    def emit(held: list[pa.RecordBatch]):
+        t = pa.Table.from_batches(held)
+        group, size = held[0].column(0)[0].as_py(), t.column(3).to_pylist()
         bins = pack(size, capacity)
-        number = [k for k, b in enumerate(bins) for _ in b]
-        order = [i for b in bins for i in b]
-        cols = [pa.array([group] * len(order), pa.int64()), pa.array(number, pa.int32()), pa.array([ids[i] for i in order], pa.int64()), pa.array([piece[i] for i in order], pa.int32()), pa.array([size[i] for i in order], pa.int32())]
-        return pa.RecordBatch.from_arrays(cols, ["bin_group", "bin", "doc_id", "piece", "n_tokens"])
+        order = pa.array([i for b in bins for i in b], pa.int64())
+        number = pa.array([k for k, b in enumerate(bins) for _ in b], pa.int32())
+        for at in range(0, len(order), _ROWS):
+            own = t.take(order.slice(at, _ROWS)).combine_chunks()
+            part = number.slice(at, _ROWS)
+            cols = [pa.array([group] * len(own), pa.int64()), part, *(own.column(k).combine_chunks() for k in (1, 2, 3, 4))]
+            yield pa.RecordBatch.from_arrays([c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in cols], names)
 
     def run(batches):
         """The input is sorted by group, then from large to small."""
-        group, held = None, ([], [], [])
+        held: list[pa.RecordBatch] = []
         for batch in batches:
             g = batch.column(0).to_numpy()
-            cuts = np.r_[0, np.flatnonzero(g[1:] != g[:-1]) + 1, len(g)]
-            rows = [batch.column(i).to_pylist() for i in (1, 2, 3)]
+            cuts = [0, *(np.flatnonzero(g[1:] != g[:-1]) + 1).tolist(), len(g)]
             for a, b in zip(cuts[:-1], cuts[1:]):
                 if a == b:
                     continue
-                if group is not None and g[a] != group:
-                    yield emit(group, *held)
-                    held = ([], [], [])
-                group = int(g[a])
-                for h, r in zip(held, rows):
-                    h.extend(r[a:b])
-        if group is not None:
-            yield emit(group, *held)
+                if held and held[0].column(0)[0].as_py() != g[a]:
+                    yield from emit(held)
+                    held = []
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from emit(held)
 
     return run
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, group_size: int = GROUP_SIZE) -> DataFrame:
-    """(bin_group, bin, doc_id, piece, n_tokens): piece p of a document is its words from p * capacity on."""
-    words = F.size(F.split(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")), " "))
-    sized = keyed(docs).select("doc_id", F.when(F.coalesce(F.col("text"), F.lit("")).rlike(r"\S"), words).otherwise(0).alias("n"))
-    pieces = sized.where("n > 0").select("doc_id", F.col("n"), F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / F.lit(capacity)).cast("int"))).alias("piece"))
-    pieces = pieces.select("doc_id", "piece", F.least(F.lit(capacity), F.col("n") - F.col("piece") * capacity).cast("int").alias("size"))
-    rows = docs.count()
-    groups = max(1, -(-rows // group_size))
-    dealt = pieces.select(F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(groups)).alias("g"), "doc_id", "piece", "size")
+    """(bin_group, bin, doc_id, piece, n_tokens, text): piece p of a document is its words from p * capacity on; a window is the pieces of one (bin_group, bin)."""
+    pieces = keyed(docs).mapInArrow(_cut(capacity), PIECES)
+    groups = max(1, -(-pieces.count() // group_size))
+    dealt = pieces.select(F.pmod("deal", F.lit(groups)).alias("g"), "doc_id", "piece", "size", "text")
     # a number of its own: the rows are few bytes but much work, so adaptive execution mustn't join these partitions
-    ordered = dealt.repartition(min(groups, MOST_TASKS), "g").sortWithinPartitions("g", F.desc("size"), "doc_id", "piece")
-    return ordered.mapInArrow(_pack_groups(capacity), "bin_group long, bin int, doc_id long, piece int, n_tokens int")
+    ordered = dealt.repartition(min(groups, PARTITIONS), "g").sortWithinPartitions("g", F.desc("size"), "doc_id", "piece")
+    return ordered.mapInArrow(_pack_groups(capacity), "bin_group long, bin int, doc_id long, piece int, n_tokens int, text string")
