@@ -14,8 +14,7 @@ The number of cells, and so of copies of a block, grows with the number of block
 the join is one of all pairs.
 
 Defined cases: unusable vectors (see ``neighbours``) are left out; a null id is passed
-over; of the rows of one id the vector that sorts first
-counts; equal distances go by id; fewer than k others give as many as there are; an
+over; equal distances go by id; fewer than k others give as many as there are; an
 empty table gives an empty result.  Other columns aren't read.
 """
 
@@ -107,7 +106,7 @@ def search(ids_a: np.ndarray, a: np.ndarray, ids_b: np.ndarray, b: np.ndarray, k
 
 def _cells(k: int):
     def run(batches):
-        """The input is sorted by cell: cell, block, id, vector."""
+        """The input is sorted by cell: length, first and last block, own block, id, vector."""
         rest: list[pa.RecordBatch] = []
 
         def of(t: pa.Table):
@@ -125,13 +124,16 @@ def _cells(k: int):
                     yield pa.RecordBatch.from_arrays([pa.array(ids[p]), pa.array([[i for _, i in h] for h in heaps], pa.list_(pa.int64())), pa.array([[s for s, _ in h] for h in heaps], pa.list_(pa.float64()))], ["vec_id", "neighbours", "squares"])
 
         for batch in batches:
-            cell = np.char.add(batch.column(0).to_numpy().astype(str), np.char.add(":", batch.column(1).to_numpy().astype(str))) if len(batch) else np.empty(0)
-            cuts = [0, *(np.flatnonzero(cell[1:] != cell[:-1]) + 1).tolist(), len(cell)]
+            at = [batch.column(c).to_numpy() for c in range(3)]
+            new = np.zeros(max(0, len(batch) - 1), bool)
+            for x in at:
+                new |= x[1:] != x[:-1]
+            cuts = [0, *(np.flatnonzero(new) + 1).tolist(), len(batch)]
             for a, b in zip(cuts[:-1], cuts[1:]):
                 if a == b:
                     continue
                 part = batch.slice(a, b - a)
-                if rest and (rest[-1].column(0)[0].as_py(), rest[-1].column(1)[0].as_py()) != (part.column(0)[0].as_py(), part.column(1)[0].as_py()):
+                if rest and any(rest[-1].column(c)[0].as_py() != at[c][a] for c in range(3)):
                     yield from of(pa.Table.from_batches(rest))
                     rest = []
                 rest.append(part)
@@ -172,22 +174,20 @@ def _rows(rows: list) -> pa.RecordBatch:
 def neighbours(vectors: DataFrame, k: int = K, block: int = BLOCK, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(vec_id, rank, neighbour, distance): every vector's k nearest others by Euclidean distance, rounded to six decimals.
 
+    Vectors of different lengths have no distance: each length is searched by itself.
     Left out: null ids and vectors, empty vectors, vectors with a null or a value that
-    isn't finite, and vectors of another length than the greatest number have (of
-    lengths as frequent, the least).
+    isn't finite.  Of the rows of one id the vector that sorts first counts.
     """
     own = vectors.select(vectors[id_col].cast("long").alias("vec_id"), vectors[vector_col].cast("array<double>").alias("vector"))
     fine = own.where("vec_id is not null and size(vector) > 0").where(F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))))
-    lengths = fine.groupBy(F.size("vector").alias("size")).count().orderBy(F.desc("count"), "size").limit(1).collect()
-    if not lengths:
-        return vectors.sparkSession.createDataFrame([], "vec_id long, rank int, neighbour long, distance double")
-    blocks = max(1, -(-lengths[0]["count"] // block))
-    fine = fine.where(F.size("vector") == lengths[0]["size"]).groupBy("vec_id").agg(F.min("vector").alias("vector"))
-    dealt = fine.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-    sent = dealt.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("x"), "block", "vec_id", "vector")
-    sent = sent.select(F.least("x", "block").alias("first"), F.greatest("x", "block").alias("last"), "block", "vec_id", F.col("vector").cast("array<float>" if dict(vectors.dtypes)[vector_col] == "array<float>" else "array<double>").alias("vector"))
-    cells = blocks * (blocks + 1) // 2
-    found = sent.repartition(min(cells, 10_000), "first", "last").sortWithinPartitions("first", "last").mapInArrow(_cells(k), _OUT)
+    fine = fine.groupBy("vec_id").agg(F.min("vector").alias("vector")).withColumn("size", F.size("vector"))
+    lengths = fine.groupBy("size").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
+    dealt = fine.join(lengths, "size").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
+    sent = dealt.select("size", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x"), "block", "vec_id", "vector")
+    sent = sent.select("size", F.least("x", "block").alias("first"), F.greatest("x", "block").alias("last"), "block", "vec_id", F.col("vector").cast("array<float>" if dict(vectors.dtypes)[vector_col] == "array<float>" else "array<double>").alias("vector"))
+    # a number of its own: cells are much work in few bytes, so adaptive execution mustn't join these partitions
+    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = sent.repartition(parts, "size", "first", "last").sortWithinPartitions("size", "first", "last").mapInArrow(_cells(k), _OUT)
     return found.repartition("vec_id").sortWithinPartitions("vec_id").mapInArrow(_merge(k), "vec_id long, rank int, neighbour long, distance double").where("vec_id is not null")
 
 
