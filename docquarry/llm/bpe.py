@@ -20,10 +20,12 @@ result.  Other columns aren't read.
 from __future__ import annotations
 
 import base64
+from array import array
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -31,8 +33,12 @@ from .common import keyed
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHE = 250_000
+CACHE = 750_000
 _LONG = 64
+#: Rows, and about so many bytes of text, that are encoded at once.
+ROWS, BYTES = 2048, 1 << 22
+#: A space that doesn't just go before a word: the text isn't cut at its spaces then.
+_ODD = r"^$|[ ][\s\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]|[ ]\z"
 
 
 def read_vocabulary(path: str) -> list[bytes]:
@@ -103,12 +109,35 @@ class Encoder:
                 best[start] = token
         return best
 
+    def _fit(self, a: int, b: int) -> bool:
+        fits = self.good.get((a, b))
+        if fits is None:
+            if len(self.good) > CACHE:
+                self.good.clear()
+            fits = self.good[a, b] = self._compatible(a, b)
+        return fits
+
+    def _greedy(self, text: str) -> list[int] | None:
+        """The longest matches one after the other, if all neighbours are compatible: there is one such list, the one of the merges."""
+        out = [token for _, token in self.automaton.iter_long(text)]
+        good, last, length = self.good, -1, 0
+        for token in out:
+            length += self.length[token]
+            if last >= 0:
+                fits = good.get((last, token))
+                if not (self._fit(last, token) if fits is None else fits):
+                    return None
+            last = token
+        return out if length == len(text) else None
+
     def encode_piece(self, data: bytes) -> list[int]:
         """Token ids of one pre-token."""
         ids, length, shorter, good, n = self.ids, self.length, self.shorter, self.good, len(data)
         if data in ids:
             return [ids[data]]
         text = data.decode("latin-1")
+        if (quick := self._greedy(text)) is not None:
+            return quick
         everywhere = self._longest_everywhere(text) if n > _LONG else None
         longest_prefix = self.automaton.longest_prefix
 
@@ -131,11 +160,7 @@ class Encoder:
                     if last < 0:
                         break
                     fits = good.get((last, token))
-                    if fits is None:
-                        if len(good) > 4 * CACHE:
-                            good.clear()
-                        fits = good[last, token] = self._compatible(last, token)
-                    if fits:
+                    if self._fit(last, token) if fits is None else fits:
                         break
                 token = shorter[token]
                 if token < 0:
@@ -156,34 +181,68 @@ class Encoder:
         if found is None:
             if len(self.pieces) > CACHE:
                 self.pieces.clear()
-            found = np.array(self.encode_piece(piece.encode()), np.int32).tobytes()
+            found = array("i", self.encode_piece(piece.encode())).tobytes()
             if len(piece) <= _LONG:
                 self.pieces[piece] = found
         return found
 
     def encode(self, text: str) -> bytes:
-        """Token ids as the bytes of 32-bit integers.
-
-        A pre-token begins at every single space before something that isn't
-        white space, so where all spaces are such, the text is encoded word by word.
-        """
-        if "  " in text or " \n" in text or text.endswith(" ") or any(f" {c}" in text for c in "\t\r\v\f\x85\xa0  　   ") or regex.search(r" [ - ]", text):
-            return b"".join(map(self._piece, self.pattern.findall(text)))
-        known, first, *rest = self.chunks, *text.split(" ")
-        out = [b"".join(map(self._piece, self.pattern.findall(first)))]
-        for word in rest:
-            ids = known.get(word)
-            out.append(ids if ids is not None else self._spaced(word))
-        return b"".join(out)
+        """Token ids as the bytes of 32-bit integers."""
+        pieces = self.pattern.findall(text)
+        if len(pieces) == 1:  # kept by the caller, if at all
+            return array("i", self.encode_piece(text.encode())).tobytes()
+        return b"".join(map(self._piece, pieces))
 
     def _spaced(self, word: str) -> bytes:
-        ids = b"".join(map(self._piece, self.pattern.findall(" " + word)))
-        if len(word) <= _LONG:
-            if len(self.chunks) > CACHE:
-                self.chunks.clear()
-            self.chunks[word] = ids
+        ids = self.chunks.get(word)
+        if ids is None:
+            ids = self.encode(" " + word)
+            if len(word) <= _LONG:
+                if len(self.chunks) > CACHE:
+                    self.chunks.clear()
+                self.chunks[word] = ids
         return ids
 
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(token ids, their number for each text) of texts without nulls.
+
+        A pre-token begins at every single space before something that isn't white
+        space.  Where all spaces of a text are such it is cut at them; each distinct
+        word of all these texts is encoded once, and the ids are put together by an
+        index, without a step of Python for each word.
+        """
+        odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
+        plain, rest = np.flatnonzero(~odd), np.flatnonzero(odd)
+        sizes = np.zeros(len(texts), np.int64)
+        lists = pc.split_pattern(texts.take(pa.array(plain)), " ")
+        ends = np.asarray(lists.offsets).astype(np.int64)
+        ends -= ends[0]
+        words = lists.flatten().dictionary_encode()
+        code, distinct = words.indices.to_numpy().astype(np.int64), words.dictionary.to_pylist()
+        head = code[ends[:-1]]  # the first word of a text has no space before it
+        heads, code_of_head = np.unique(head, return_inverse=True)
+        code[ends[:-1]] = len(distinct) + code_of_head
+        used = np.zeros(len(distinct) + len(heads), bool)
+        used[code] = True
+        parts = [self._spaced(w) if u else b"" for w, u in zip(distinct, used.tolist())] + [self.encode(distinct[h]) for h in heads.tolist()]
+        known, size = np.frombuffer(b"".join(parts), np.int32), np.array([len(p) // 4 for p in parts], np.int64)
+        start = np.cumsum(size) - size
+        own = size[code]
+        last = np.cumsum(own)
+        flat = known[np.repeat(start[code] - (last - own), own) + np.arange(last[-1] if len(last) else 0)]
+        total = np.r_[0, last][ends]
+        sizes[plain] = np.diff(total)
+        if not len(rest):
+            return flat, sizes
+        others = [np.frombuffer(self.encode(t), np.int32) for t in texts.take(pa.array(rest)).to_pylist()]
+        sizes[rest] = [len(x) for x in others]
+        stop = np.cumsum(sizes)
+        out = np.empty(stop[-1], np.int32)
+        out[np.repeat((stop - sizes)[plain] - total[:-1], sizes[plain]) + np.arange(len(flat))] = flat
+        for r, ids in zip(rest.tolist(), others):
+            out[stop[r] - len(ids) : stop[r]] = ids
+        return out, sizes
+
 
 class Decoder:
     def __init__(self, tokens: list[bytes]):
@@ -210,30 +269,45 @@ def _tools(tokens: list[bytes]) -> tuple[Encoder, Decoder]:
     return _ready[key]
 
 
-def _coder(shared):
+def _parts(batch: pa.RecordBatch):
+    """At most ROWS rows and, but for a single longer text, BYTES of text at a time."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(batch):
+        stop = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BYTES, "right"))
+        stop = min(max(stop, at + 1), at + ROWS)
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
+def _coder(shared, check: bool):
     def run(batches):
         encoder, decoder = _tools(shared.value)
         for whole in batches:
-            for lo in range(0, len(whole), 512):
-                batch = whole.slice(lo, 512)
-                texts = batch.column(1).to_pylist()
-                coded = [None if t is None else encoder.encode(t) for t in texts]
-                sizes = np.array([0 if c is None else len(c) // 4 for c in coded])
-                flat = np.frombuffer(b"".join(c for c in coded if c), np.int32)
+            for batch in _parts(whole):
+                valid = batch.column(1).is_valid().to_numpy(zero_copy_only=False)
+                texts = batch.column(1).fill_null("")
+                flat, sizes = encoder.encode_all(texts)
                 offsets = np.r_[0, np.cumsum(sizes)]
-                data, starts = decoder.decode(flat, offsets)
-                same = [None if t is None else data[a:b].tobytes() == t.encode() for t, a, b in zip(texts, starts[:-1], starts[1:])]
-                null = np.array([c is None for c in coded])
-                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32), mask=np.r_[null, False]), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes.astype(np.int32), mask=null), lists, pa.array(same, pa.bool_())], ["doc_id", "n_tokens", "tokens", "round_trip"])
+                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32), mask=np.r_[~valid, False]), pa.array(flat))
+                cols = [batch.column(0), pa.array(sizes.astype(np.int32), mask=~valid), lists]
+                if check:
+                    data, starts = decoder.decode(flat, offsets)
+                    at = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+                    given = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+                    same = np.ones(len(texts), bool)
+                    if not (np.array_equal(starts, at - at[0]) and np.array_equal(data, given)):
+                        same = np.array([data[a:b].tobytes() == given[c:d].tobytes() for a, b, c, d in zip(starts[:-1], starts[1:], at[:-1] - at[0], at[1:] - at[0])])
+                    cols.append(pa.array(same, mask=~valid))
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "tokens", "round_trip"][: len(cols)])
 
     return run
 
 
-def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, n_tokens, tokens, round_trip); round_trip: decoding the tokens gives the text again."""
+def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, check: bool = True) -> DataFrame:
+    """(doc_id, n_tokens, tokens, round_trip); round_trip, with ``check``: decoding the tokens gives the text again."""
     shared = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))  # of a fixed size
-    return keyed(docs).mapInArrow(_coder(shared), "doc_id long, n_tokens int, tokens array<int>, round_trip boolean")
+    return keyed(docs).mapInArrow(_coder(shared, check), "doc_id long, n_tokens int, tokens array<int>" + ", round_trip boolean" * check)
 
 
 def _decoder(shared):
