@@ -1,6 +1,7 @@
 """Branches: named overlays of keys over the main line.
 
-``main`` is a live view (key, value, epoch), ``writes`` the branches' writes (branch,
+``main`` is a live view (key, value, epoch); for conflicts and merges it may be the newest
+row of every key, deletions too, with ``op``, so that a deletion counts as a change, ``writes`` the branches' writes (branch,
 key, value, deleted, epoch), ``branches`` one row for each (name, base_epoch, status).
 """
 
@@ -36,13 +37,15 @@ def conflicts(main: DataFrame, writes: DataFrame, branch: str, base_epoch: int)
     return own.join(main.where(F.col("epoch") >= base_epoch).select("key"), "key", "left_semi")
 
 
-def merge(main: DataFrame, writes: DataFrame, branch: str, base_epoch: int, epoch: int, resolved: list[str] | None = None) -> DataFrame:
+def merge(main: DataFrame, writes: DataFrame, branch: str, base_epoch: int, epoch: int, resolved: list[str] | DataFrame | None = None) -> DataFrame:
     """The log rows (key, value, op, epoch) that bring the branch into the main line; keys in conflict stay out unless resolved."""
     own = newest_writes(writes, branch)
     clash = conflicts(main, writes, branch, base_epoch)
-    if resolved:
+    if isinstance(resolved, DataFrame):
+        clash = clash.join(resolved.select("key"), "key", "left_anti")
+    elif resolved:
         clash = clash.where(~F.col("key").isin(resolved))
-    joined = own.join(clash, "key", "left_anti").join(main.select("key", F.lit(True).alias("there")), "key", "left")
+    joined = own.join(clash, "key", "left_anti").join((main.where("op <> 'delete'") if "op" in main.columns else main).select("key", F.lit(True).alias("there")), "key", "left")
     op = F.when(F.col("deleted"), "delete").when(F.col("there"), "update").otherwise("insert")
     return joined.where(~F.col("deleted") | F.col("there")).select("key", F.when(~F.col("deleted"), F.col("value")).alias("value"), op.alias("op"), F.lit(epoch).cast("long").alias("epoch"))
 

@@ -58,6 +58,45 @@ def bitmap_size(bits: DataFrame) -> DataFrame:
     return bits.agg(F.coalesce(F.sum(F.bitmap_count("bits")), F.lit(0)).alias("size"))
 
 
+def bitmap_values(bits: DataFrame) -> DataFrame:
+    """(value): the numbers of a set."""
+    at = F.explode(F.sequence(F.lit(0), F.octet_length("bits") - 1)).alias("at")
+    byte = bits.select("bucket", "bits", at).select("bucket", "at", F.conv(F.hex(F.substr("bits", F.col("at").cast("int") + 1, F.lit(1))), 16, 10).cast("int").alias("byte"))
+    each = byte.where("byte <> 0").select("bucket", "at", F.explode(F.filter(F.array(*(F.when(F.col("byte").bitwiseAND(1 << b) != 0, F.lit(b)) for b in range(8))), lambda b: b.isNotNull())).alias("bit"))
+    return each.select(((F.col("bucket") - 1) * 32768 + F.col("at") * 8 + F.col("bit")).cast("long").alias("value"))
+
+
+def bitmap_contains(df: DataFrame, column: str, bits: DataFrame) -> DataFrame:
+    """``df`` with whether its number is in the set, false for null."""
+    own = df.withColumn("__bucket", F.bitmap_bucket_number(column))
+    joined = own.join(bits.select(F.col("bucket").alias("__bucket"), F.col("bits").alias("__bits")), "__bucket", "left")
+    at = F.bitmap_bit_position(F.col(column))
+    byte = F.conv(F.hex(F.substr("__bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    held = F.coalesce(F.pmod(F.floor(byte / F.pow(F.lit(2.0), F.pmod(at, F.lit(8)))), F.lit(2)) == 1, F.lit(False))
+    return joined.withColumn("contained", held).drop("__bucket", "__bits")
+
+
+def _bloom_places(column: str, bits: int, hashes: int):
+    return [F.pmod(F.xxhash64(F.lit(k), F.col(column)), F.lit(bits)) for k in range(hashes)]
+
+
+def bloom(df: DataFrame, column: str, bits: int = 1 << 20, hashes: int = 7) -> DataFrame:
+    """(bucket, bits): a Bloom filter of ``bits`` bits, whatever the number of rows, as bitmaps; each task builds its own before the shuffle."""
+    return bitmap(df.where(F.col(column).isNotNull()).select(F.explode(F.array(*_bloom_places(column, bits, hashes))).alias("place")), "place")
+
+
+def bloom_contains(df: DataFrame, column: str, built: DataFrame, bits: int = 1 << 20, hashes: int = 7) -> DataFrame:
+    """The rows that the filter may hold: all that it does, and a few more; the filter's fixed size makes it fit for a broadcast."""
+    whole = built.agg(F.map_from_entries(F.collect_list(F.struct("bucket", "bits"))).alias("__bloom"))  # bits / 8 bytes
+    out = df.where(F.col(column).isNotNull()).withColumn("__one", F.lit(1)).join(F.broadcast(whole.withColumn("__one", F.lit(1))), "__one")
+    for place in _bloom_places(column, bits, hashes):
+        part = F.element_at("__bloom", F.bitmap_bucket_number(place))
+        at = F.bitmap_bit_position(place)
+        byte = F.conv(F.hex(F.substr(part, F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        out = out.where(F.coalesce(F.pmod(F.floor(byte / F.pow(F.lit(2.0), F.pmod(at, F.lit(8)))), F.lit(2)) == 1, F.lit(False)))
+    return out.drop("__one", "__bloom")
+
+
 def column_filter(df: DataFrame, column: str, op: str, value, id_col: str) -> DataFrame:
     """The ids of the rows whose column compares so; nulls and values of another kind never match."""
     kind, own = df.schema[column].dataType.typeName(), type(value)

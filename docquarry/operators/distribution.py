@@ -52,12 +52,19 @@ def ring_owner(df: DataFrame, key: str, vnodes: DataFrame) -> DataFrame:
 
 
 def ring_replicas(df: DataFrame, key: str, vnodes: DataFrame, count: int) -> DataFrame:
-    """(key, replica, node): the next ``count`` different nodes round the ring."""
-    modulus = F.lit(str(1 << 64)).cast("decimal(21,0)")
-    pairs = df.select(key, fnv1a64(F.col(key)).alias("h")).crossJoin(F.broadcast(vnodes))
-    nearest = pairs.groupBy(key, "node").agg(F.min(F.pmod(F.col("place") - F.col("h") + modulus, modulus)).alias("way"))
-    w = Window.partitionBy(key).orderBy("way", "node")
-    return nearest.withColumn("replica", F.row_number().over(w) - 1).where(F.col("replica") < count).select(key, "replica", "node")
+    """(key, replica, node): the next ``count`` different nodes round the ring.
+
+    Each place stands for the list of nodes that follow it, so this is ``ring_owner`` once more.
+    """
+    places = sorted((int(r.place), r.node) for r in vnodes.groupBy("place").agg(F.min("node").alias("node")).collect())  # nodes times virtual nodes
+    names = sorted({n for _, n in places})
+    rows, after = [], []
+    for p, n in reversed(places + places):  # twice, so that the end sees the beginning
+        after = [n, *(x for x in after if x != n)][: len(names)]
+        rows.append((str(p), ",".join(str(names.index(x)) for x in after[:count])))
+    lists = df.sparkSession.createDataFrame(rows[len(places) :], "place string, node string").select("node", F.col("place").cast("decimal(20,0)").alias("place"))
+    owned = ring_owner(df.select(key), key, lists).select(key, F.posexplode(F.split("node", ",")).alias("replica", "n"))
+    return owned.select(key, "replica", F.element_at(F.array(*map(F.lit, names)), F.col("n").cast("int") + 1).alias("node"))
 
 
 def owners(partitions: DataFrame, shards: DataFrame) -> DataFrame:

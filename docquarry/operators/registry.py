@@ -6,6 +6,8 @@ yanked, deps as map of name to constraint), grants (name, holder, permission).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,21 +46,22 @@ def best(releases: DataFrame, name: str, constraint: str) -> DataFrame:
     return newest(releases.where((F.col("name") == name) & satisfies(F.col("version"), constraint)))
 
 
-def resolve(releases: DataFrame, wanted: dict[str, str], most: int = 64) -> dict[str, str]:
-    """Versions for all packages needed, dependencies too; an error where constraints leave none."""
+def resolve(releases: DataFrame, wanted: dict[str, str]) -> dict[str, str]:
+    """Versions for all packages needed, dependencies too; an error where constraints leave none or never settle.  One job a round, over all packages of the round."""
     demands: dict[str, set[str]] = {n: {c} for n, c in wanted.items()}
-    for _ in range(most):
-        chosen: dict[str, str] = {}
+    seen: set[str] = set()
+    while repr(sorted((n, sorted(c)) for n, c in demands.items())) not in seen:
+        seen.add(repr(sorted((n, sorted(c)) for n, c in demands.items())))
+        found = [best(releases, n, ",".join(sorted(c))).select("name", "version", "deps") for n, c in sorted(demands.items())]
+        rows = {r.name: r for r in reduce(DataFrame.unionByName, found).collect()} if found else {}  # a row for each package
         needs: dict[str, set[str]] = {n: {c} for n, c in wanted.items()}
         for name, constraints in demands.items():
-            row = best(releases, name, ",".join(sorted(constraints))).first()
-            if row is None:
+            if name not in rows:
                 raise ValueError(f"no release of {name} meets {sorted(constraints)}")
-            chosen[name] = row["version"]
-            for dep, c in (row["deps"] or {}).items():
+            for dep, c in (rows[name].deps or {}).items():
                 needs.setdefault(dep, set()).add(c)
         if needs == demands:
-            return dict(sorted(chosen.items()))
+            return {n: rows[n].version for n in sorted(rows)}
         demands = needs
     raise ValueError("the constraints don't settle")
 

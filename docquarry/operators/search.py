@@ -16,8 +16,6 @@ from ..functions import text as T
 from ..functions.vector import score
 from ..plans import regex as R
 
-MAX_HITS = 5000
-
 
 def search(df: DataFrame, query: str, column: str = "text", key: str = "doc_id", limit: int | None = None) -> DataFrame:
     """Rows with the phrase of one term, or with all terms, whatever the case of A to Z; by key where there is a limit."""
@@ -32,9 +30,15 @@ def word_index(df: DataFrame, column: str = "text", key: str = "doc_id") -> Data
     return each.where(F.length("word") >= T.MIN_WORD).select("word", key, "line")
 
 
-def word_hits(index: DataFrame, word: str, key: str = "doc_id", most: int = MAX_HITS) -> DataFrame:
-    """(key, line) of a word, as it is written; the first 5000."""
-    return index.where(F.col("word") == word).select(key, "line").distinct().orderBy(key, "line").limit(most)
+def word_hits(index: DataFrame, word: str, key: str = "doc_id", most: int | None = None) -> DataFrame:
+    """(key, line) of a word, as it is written; with ``most`` the first ones."""
+    found = index.where(F.col("word") == word).select(key, "line").distinct()
+    return found if most is None else found.orderBy(key, "line").limit(most)
+
+
+def word_index_without(index: DataFrame, keys: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The word index without some keys' rows."""
+    return index.join(keys.select(key), key, "left_anti")
 
 
 def postings(df: DataFrame, column: str = "text", key: str = "doc_id") -> DataFrame:
@@ -114,8 +118,9 @@ def context(files: DataFrame, query: str, limit: int = 10, column: str = "text",
     found = search(files, query, column, key, 2 * limit)
     names = found.select(F.explode(F.regexp_extract_all(F.col(column), F.lit(r"(?:fn|def|func|function) ([A-Za-z0-9_]{3,})"), F.lit(1))).alias("name")).distinct()
     matches = found.select(key, F.lit("match").alias("role"))
-    # the names come from at most 2 * limit files
-    calls = files.join(F.broadcast(names), F.contains(files[column], F.concat("name", F.lit("(")))).join(matches, key, "left_anti")
+    # what every file calls, joined with the names as equal words: no file is held against each name
+    called = files.select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.col(column), F.lit(r"([A-Za-z0-9_]{3,})\("), F.lit(1)))).alias("name"))
+    calls = called.join(names, "name").join(matches, key, "left_anti")
     few = Window.partitionBy("name").orderBy(key)
     callers = calls.withColumn("n", F.row_number().over(few)).where(F.col("n") <= per_name).select(key, F.lit("caller").alias("role")).distinct()
     tests = search(files, query, column, key).where(F.contains(F.lower(F.col(key)), F.lit("test"))).select(key, F.lit("test").alias("role"))

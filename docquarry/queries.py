@@ -129,7 +129,7 @@ _on("text_search_all_terms", f"SELECT doc_id FROM documents WHERE contains({_FOL
 _on("text_search_limit", f"SELECT doc_id FROM documents WHERE contains({_FOLD}, 'token') ORDER BY doc_id LIMIT 10", "documents", lambda t: S.search(t, "token", limit=10).select("doc_id"))
 _on("text_search_indexed", f"SELECT doc_id FROM documents WHERE contains({_FOLD}, 'example') AND contains({_FOLD}, 'mail')", "documents", lambda t: S.indexed_search(t, S.postings(t), "example Mail").select("doc_id"))
 _WORDS = r"WITH l AS (SELECT doc_id, i + 1 AS line, unnest(regexp_extract_all(s[i + 1], '[A-Za-z0-9_]+')) AS word FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents) x, unnest(range(len(s))) AS t(i)) "
-_on("word_search", _WORDS + "SELECT DISTINCT doc_id, line::INT AS line FROM l WHERE word = 'token' ORDER BY ALL LIMIT 5000", "documents", lambda t: S.word_hits(S.word_index(t), "token"))
+_on("word_search", _WORDS + "SELECT DISTINCT doc_id, line::INT AS line FROM l WHERE word = 'token'", "documents", lambda t: S.word_hits(S.word_index(t), "token"))
 _on("word_index", _WORDS + "SELECT DISTINCT word, doc_id, line::INT AS line FROM l WHERE length(word) >= 2", "documents", S.word_index)
 _TRI = f"WITH f AS (SELECT doc_id, {_FOLD} AS t FROM documents) "
 _on("trigram_postings", _TRI + ", g AS (SELECT DISTINCT doc_id, t[i:i + 2] AS tri FROM (SELECT doc_id, t, unnest(range(1, length(t) - 1)) AS i FROM f)) SELECT tri, count(*) AS n FROM g GROUP BY tri", "documents", lambda t: S.postings(t).groupBy("tri").agg(F.count("*").alias("n")))

@@ -15,16 +15,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.json import embedding
+from ..functions.text import fnv1a64_int
 from ..operators import branches as B
 from ..operators import log as L
 from ..operators.aggregates import aggregate
-from ..operators.search import hybrid, search, word_hits, word_index
+from ..operators.distribution import hash_partition
+from ..operators.search import context, hybrid, search, word_hits, word_index
 from ..operators.tenancy import Keys, Quota, QuotaExceeded
 from ..operators.vectors import exact
 from ..plans.filters import where
+from ..session import checkpoint
 
 LOG = "doc_id long, key string, value string, op string, version int, epoch long, ts_ms long, expires_at long, embedding array<float>"
 WRITES = "branch string, key string, value string, deleted boolean, epoch long"
+SETTLED = "branch string, key string, how string, at long"
 BRANCHES = "name string, agent string, base_epoch long, status string, at long"
 _NAME = re.compile(r"[A-Za-z0-9_.-]{1,64}")
 
@@ -100,21 +104,26 @@ class Collection:
     def _last(self, column: str) -> int:
         return self.log.agg(F.coalesce(F.max(column), F.lit(0))).first()[0]
 
+    def _heads(self) -> tuple[int, int]:
+        """The next epoch and the last document's id, in one pass over two columns."""
+        row = self.log.agg(F.coalesce(F.max("epoch"), F.lit(0)), F.coalesce(F.max("doc_id"), F.lit(0))).first()
+        return row[0] + 1, row[1]
+
     def _append(self, rows: DataFrame, part: str, schema: str) -> None:
         ordered = [c.split()[0] for c in schema.split(", ")]
         rows.select(*ordered).write.mode("append").parquet(f"{self.path}/{part}")
 
     def write(self, rows: DataFrame, ttl_seconds: int | None = None, vector: tuple[str, int] | None = None) -> None:
-        """Inserts or updates (key, value, embedding): the newest row of a key counts, of a key that repeats the last by value.
+        """Inserts or updates (key, value, embedding): of a key that repeats the last row counts, by ``seq`` where the rows have it, else in the order of their files.
 
         ``vector``: the JSON field, and its length, that embeddings are taken from where rows bring none.
         """
         self.db.check_storage(self.tenant, rows)
-        epoch, last = self._last("epoch") + 1, self._last("doc_id")
-        now = int(time.time() * 1000)
+        epoch, last, now = *self._heads(), int(time.time() * 1000)
         own = embedding(F.col("value"), vector[1], vector[0]) if vector else F.lit(None).cast("array<float>")
         rows = rows.withColumn("embedding", F.coalesce(F.col("embedding").cast("array<float>"), own) if "embedding" in rows.columns else own)
-        rows = rows.groupBy("key").agg(F.max_by(F.struct("value", "embedding"), "value").alias("r")).select("key", "r.value", "r.embedding")
+        order = F.col("seq") if "seq" in rows.columns else F.monotonically_increasing_id()
+        rows = rows.withColumn("__seq", order).groupBy("key").agg(F.max_by(F.struct("value", "embedding"), "__seq").alias("r")).select("key", "r.value", "r.embedding")
         old = L.compact(self.log).select("key", F.col("doc_id").alias("old_id"), F.col("version").alias("old_version"), "op")
         joined = rows.join(old, "key", "left")
         there = F.col("old_id").isNotNull()
@@ -132,8 +141,8 @@ class Collection:
     def insert(self, documents: Mapping[str, object] | Iterable[tuple], **options) -> None:
         """A mapping of keys to values, or (key, value[, embedding]) rows; values that aren't text become JSON."""
         items = documents.items() if isinstance(documents, Mapping) else documents
-        rows = [(r[0], r[1] if isinstance(r[1], str) else json.dumps(r[1]), r[2] if len(r) > 2 else None) for r in items]
-        self.write(self.db.spark.createDataFrame(rows, "key string, value string, embedding array<float>"), **options)
+        rows = [(r[0], r[1] if isinstance(r[1], str) else json.dumps(r[1]), r[2] if len(r) > 2 else None, n) for n, r in enumerate(items)]
+        self.write(self.db.spark.createDataFrame(rows, "key string, value string, embedding array<float>, seq long"), **options)
 
     def delete(self, keys: Sequence[str]) -> int:
         """How many of the keys there were."""
@@ -195,21 +204,49 @@ class Collection:
     def search_branch(self, branch: str, text: str) -> DataFrame:
         return search(self.on_branch(branch), text, "value", "key")
 
-    def merge(self, branch: str) -> DataFrame:
-        """(key) of the conflicts; what isn't in conflict is merged, and the branch is if nothing is."""
+    def context_on(self, branch: str, query: str, limit: int = 10) -> DataFrame:
+        """(key, role) of what belongs to a query, as the branch sees the texts."""
+        return context(self.on_branch(branch), query, limit, "value", "key")
+
+    @property
+    def settled(self) -> DataFrame:
+        """(branch, key, how, at): what has been merged and which conflicts were resolved."""
+        return self._read("settled", SETTLED)
+
+    def resolve(self, branch: str, keys: Sequence[str]) -> None:
+        """Lets the branch's writes of these keys win over the main line's at the next merge."""
+        self._branch(branch)
+        self._append(self.db.spark.createDataFrame([(branch, k, "resolved", time.time_ns()) for k in keys], SETTLED), "settled", SETTLED)
+
+    def _open_writes(self, branch: str) -> DataFrame:
+        """The branch's newest writes that haven't been merged yet."""
+        done = self.settled.where((F.col("branch") == branch) & (F.col("how") == "merged")).groupBy("key").agg(F.max("at").alias("__at"))
+        left = B.newest_writes(self.branch_writes, branch).join(done, "key", "left")
+        return left.where(F.col("__at").isNull() | (F.col("epoch") > F.col("__at"))).drop("__at")
+
+    def conflicts(self, branch: str) -> DataFrame:
+        """(key): keys of the branch that the main line wrote or deleted since the fork, without the resolved ones."""
         row = self._branch(branch)
-        main = self.view()
-        clash = [r.key for r in B.conflicts(main, self.branch_writes, branch, row.base_epoch).collect()]  # keys of one branch
-        rows = B.merge(main, self.branch_writes, branch, row.base_epoch, self._last("epoch") + 1).collect()
-        gone = [r.key for r in rows if r.op == "delete"]
-        kept = [(r.key, r.value) for r in rows if r.op != "delete"]
-        if kept:
-            self.insert(kept)
-        if gone:
-            self.delete(gone)
-        if not clash:
+        resolved = self.settled.where((F.col("branch") == branch) & (F.col("how") == "resolved")).select("key").distinct()
+        return B.conflicts(L.compact(self.log), self._open_writes(branch), branch, row.base_epoch).join(resolved, "key", "left_anti")
+
+    def merge(self, branch: str) -> DataFrame:
+        """(key) of the conflicts; what isn't in conflict is merged by one append, and the branch is if nothing is."""
+        row, main = self._branch(branch), L.compact(self.log)
+        clash = checkpoint(self.conflicts(branch))  # as of now, before the log changes
+        resolved = self.settled.where((F.col("branch") == branch) & (F.col("how") == "resolved")).select("key").distinct()
+        epoch, last, now = *self._heads(), int(time.time() * 1000)
+        rows = checkpoint(B.merge(main, self._open_writes(branch), branch, row.base_epoch, epoch, resolved))
+        old = main.select("key", F.col("doc_id").alias("old_id"), F.col("version").alias("old_version"))
+        full = rows.join(old, "key", "left").withColumns({
+            "doc_id": F.coalesce("old_id", F.monotonically_increasing_id() + F.lit(last + 1)), "version": F.coalesce(F.col("old_version") + 1, F.lit(0)), "ts_ms": F.lit(now).cast("long"),
+            "expires_at": F.lit(None).cast("long"), "embedding": F.lit(None).cast("array<float>"),
+        })
+        self._append(full, "log", LOG)
+        self._append(rows.select(F.lit(branch).alias("branch"), "key", F.lit("merged").alias("how"), F.lit(time.time_ns()).cast("long").alias("at")), "settled", SETTLED)
+        if clash.isEmpty():
             self._mark(branch, row.agent, row.base_epoch, "merged")
-        return self.db.spark.createDataFrame([(k,) for k in clash], "key string")
+        return clash
 
     def drop_branch(self, branch: str) -> None:
         row = self._branch(branch)
@@ -239,6 +276,35 @@ class Collection:
         target.write(self.read_release(n).select("key", "value", "embedding"))
 
 
+class Partitioned(Collection):
+    """A collection whose log lies in ``parts`` folders by a hash of the key: a key's rows are read from its folder alone."""
+
+    def __init__(self, db: Database, tenant: str, name: str, parts: int = 16):
+        super().__init__(db, tenant, name)
+        self.parts = parts
+
+    @property
+    def log(self) -> DataFrame:
+        return self._read("log", LOG + ", part int")
+
+    def _append(self, rows: DataFrame, part: str, schema: str) -> None:
+        if part != "log":
+            return super()._append(rows, part, schema)
+        ordered = [c.split()[0] for c in LOG.split(", ")]
+        rows.select(*ordered, hash_partition(F.col("key"), self.parts).cast("int").alias("part")).write.mode("append").partitionBy("part").parquet(f"{self.path}/log")
+
+    def get(self, key: str) -> DataFrame:
+        own = self.log.where(F.col("part") == fnv1a64_int(key) % self.parts)
+        return L.latest(L.point_get(own, key), now_ms=int(time.time() * 1000))
+
+    def migrate(self, parts: int) -> Partitioned:
+        """The same rows over another number of folders."""
+        new = f"{self.path}/log-{time.time_ns()}"
+        self.log.drop("part").withColumn("part", hash_partition(F.col("key"), parts).cast("int")).write.partitionBy("part").parquet(new)
+        self.db.move(new, f"{self.path}/log")
+        return Partitioned(self.db, self.tenant, self.name, parts)
+
+
 class Database:
     def __init__(self, spark: SparkSession, path: str, keys: Keys | None = None):
         self.spark, self.path, self.keys = spark, path.rstrip("/"), keys or Keys()
@@ -286,6 +352,10 @@ class Database:
         fs.mkdirs(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{tenant}/{name}"))
         return Collection(self, tenant, name)
 
+    def partitioned(self, name: str, tenant: str = "default", parts: int = 16) -> Partitioned:
+        self.collection(name, tenant)
+        return Partitioned(self, tenant, name, parts)
+
     def drop(self, name: str, tenant: str = "default") -> None:
         p, fs = self._fs(f"{self.path}/{tenant}/{name}")
         fs.delete(p, True)
