@@ -63,7 +63,8 @@ def bitmap_values(bits: DataFrame) -> DataFrame:
     at = F.explode(F.sequence(F.lit(0), F.octet_length("bits") - 1)).alias("at")
     byte = bits.select("bucket", "bits", at).select("bucket", "at", F.conv(F.hex(F.substr("bits", F.col("at").cast("int") + 1, F.lit(1))), 16, 10).cast("int").alias("byte"))
     each = byte.where("byte <> 0").select("bucket", "at", F.explode(F.filter(F.array(*(F.when(F.col("byte").bitwiseAND(1 << b) != 0, F.lit(b)) for b in range(8))), lambda b: b.isNotNull())).alias("bit"))
-    return each.select(((F.col("bucket") - 1) * 32768 + F.col("at") * 8 + F.col("bit")).cast("long").alias("value"))
+    place = F.col("at") * 8 + F.col("bit")  # buckets from 1 on begin with 1, 32769, ...; 0 and what is under it count downwards
+    return each.select(F.when(F.col("bucket") > 0, (F.col("bucket") - 1) * 32768 + place + 1).otherwise(F.col("bucket") * 32768 - place).cast("long").alias("value"))
 
 
 def bitmap_contains(df: DataFrame, column: str, bits: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 import pytest
 from same_rows import assert_same
 
+import docquarry.store_queries  # noqa: F401  (registers its own)
 from docquarry.queries import ORACLES, QUERIES, entry
 
 
