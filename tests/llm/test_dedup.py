@@ -192,6 +192,19 @@ def test_components(spark):
     assert got == {i: 0 for i in range(1, 51)} | {150: 100, 200: 100}
 
 
+def test_components_that_do_not_settle(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(50)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        minhash.components(edges, most=2)
+
+
+def test_rows_that_repeat(spark, documents):
+    rows = [(1, "?!"), (1, "?!"), (1, None), (1, None), (2, "some words here"), (2, "some words here"), (None, "?!"), (None, "?!")]
+    for more in ([], [(3, BASE), (3, BASE)]):
+        kept = sorted(((r.doc_id, r.text) for r in minhash.drop_near_duplicates(documents(rows + more)).collect()), key=repr)
+        assert kept == sorted([(1, "?!"), (1, None), (2, "some words here"), (None, "?!"), (None, "?!"), *more[:1]], key=repr)
+
+
 def test_imatch(spark, documents):
     rows = [(1, "alpha beta gamma delta"), (2, "delta beta alpha GAMMA, alpha"), (3, None), (4, ""), (5, "unique words stand alone"), (None, "alpha"), (5, "unique words stand alone"), (6, "the " * 300_000)]
     out = imatch.fingerprints(documents(rows), idf_min=0.3, idf_max=1.5).collect()

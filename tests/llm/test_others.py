@@ -98,6 +98,22 @@ def test_pii_edges(spark, documents, model):
     assert pii.entities(documents([])).count() == 0 and pii.redact(documents([])).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("before", "entity", "kind"),
+    [("mail ", "a" * 64 + "@" + "h" * 130 + ".example.com", "EMAIL"), ("to ", ".".join(["ab"] * 20) + "@mail7.example.org", "EMAIL"), ("from ", "2001:db8:0:0:8a2e:370:7334:1", "IP"), ("from ", "fe80::1a", "IP"), ("card ", "3782 822463 10005", "CARD"), ("call ", "07700 900123", "PHONE")],
+)
+def test_pii_long_and_grouped(model, before, entity, kind):
+    assert model.find(f"{before}{entity} now") == [(len(before), len(before) + len(entity), kind)]
+
+
+def test_pii_ties_go_left():
+    found, step = [(0, 1), (1, 2)], np.zeros((2, 2))
+    score = np.array([[-np.inf, 1.0], [-np.inf, 1.0]])
+    step[1, 1] = -5.0  # one of the two only, and both score the same
+    assert pii.viterbi(2, found, score, step) in ([(0, 1, 1)], [(1, 2, 1)])
+    assert len({tuple(pii.viterbi(2, found, score, step)) for _ in range(5)}) == 1
+
+
 # quality
 
 
@@ -172,6 +188,12 @@ def test_neighbours(spark, kind):
     assert neighbours.neighbours(df.where("vec_id < 3"), 7).count() == 6
 
 
+def test_neighbours_of_each_length(spark):
+    rows = [(i, [float(i), 0.0]) for i in range(5)] + [(10 + i, [float(i * i)] * 3) for i in range(4)] + [(20, [1.0] * 7)]
+    got = {(r.vec_id, r.rank): r.neighbour for r in neighbours.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 2, 3).collect()}
+    assert got == {(0, 1): 1, (0, 2): 2, (1, 1): 0, (1, 2): 2, (2, 1): 1, (2, 2): 3, (3, 1): 2, (3, 2): 4, (4, 1): 3, (4, 2): 2, (10, 1): 11, (10, 2): 12, (11, 1): 10, (11, 2): 12, (12, 1): 11, (12, 2): 10, (13, 1): 12, (13, 2): 11}
+
+
 def test_error_bounds_hold():
     x = np.random.default_rng(6).standard_normal((200, 64)) * np.random.default_rng(7).uniform(0.01, 100, (200, 1))
     codes, scale, near, rest = neighbours.quantise(x)
@@ -206,6 +228,13 @@ def test_secrets(spark, documents):
     assert secrets.secrets(documents([])).count() == 0
 
 
+def test_secrets_of_any_length(spark, documents):
+    block = "-----BEGIN RSA PRIVATE KEY-----\nMIIE" + "abcd+/12\n" * 50 + "==\n-----END RSA PRIVATE KEY-----"
+    cases = ['token = "' + "k9" * 120 + '"', "secret=" + "Zz0" * 100, "xoxb-" + "1a" * 50, "sk_live_" + "9b" * 100, block, "é password: '" + "日本x" * 70 + "'"]
+    got = {r.doc_id: (r.start, r.stop) for r in secrets.secrets(documents(list(enumerate(cases)))).collect()}
+    assert got == {i: (2 if i == 5 else 0, len(c)) for i, c in enumerate(cases)}
+
+
 def test_secrets_against_all_places(spark, documents, data):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()]
     rows = [(d, t if d % 9 else f"{t[:200]} token = \"{'0123456789abcdef' * 2}\" xoxb-1234567890-x password= 'é' {t[200:]}") for d, t in rows]
@@ -232,6 +261,19 @@ def test_packing(spark, documents):
     assert max(r[2] for r in fills) <= packing.CAPACITY and split.groupBy().sum("n_tokens").first()[0] == sum(len((t or "").split()) for _, t in rows)
 
 
+def test_pieces_carry_the_text(spark, documents):
+    rows = [(1, "  " + "word and\n" * 5000 + " end "), (2, "短い文" * 1000), (3, "one two"), (3, "one two"), (4, " "), *((None, f"null {i}") for i in range(300))]
+    out = packing.pack_documents(documents(rows), group_size=32).collect()
+    whole = {}
+    for r in sorted((r for r in out if r.doc_id in (1, 2)), key=lambda r: r.piece):
+        whole[r.doc_id] = whole.get(r.doc_id, "") + r.text
+        assert r.n_tokens == (len(r.text.split()) if r.doc_id == 1 else len(r.text))
+    assert whole == {1: rows[0][1].lstrip(), 2: rows[1][1]}
+    assert sum(1 for r in out if r.doc_id == 3) == 2 and not any(r.doc_id == 4 for r in out)
+    own = [r for r in out if r.doc_id is None]
+    assert len(own) == 300 and len({r.bin_group for r in own}) > 5
+
+
 def test_local_search_empties_bins():
     rng, better = np.random.default_rng(9), 0
     for _ in range(40):

@@ -29,3 +29,20 @@ def test_stages_keep_the_columns(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, data).columns == docs.columns, name
+
+
+def test_odd_rows_through_the_chain(spark, documents, tmp_path):
+    text = "these are the words of a document that stays as it is, with nothing in it that another one has"
+    rows = [(1, text), (1, text), (2, None), (3, ""), (None, "a null id " + text), (4, " \n?! \n"), (5, "mail ada@mail7.example.com " + " ".join(f"own{i}" for i in range(9000))), (6, "春が来ると山の雪が解けて川の水が増える"), (7, "春が来ると山の雪が解けて川の水が増える")]
+    for name, own in (("full", rows), ("empty", [])):
+        folder = str(tmp_path / name)
+        documents(own).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(None, 1, 0), (1, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        got = corpus_pipeline.run(spark, folder).collect()
+        if not own:
+            assert got == []
+            continue
+        texts = {d: "".join(r.text for r in sorted((r for r in got if r.doc_id == d), key=lambda r: r.piece)) for d in (1, 5, 6, None)}
+        assert texts[1] == text and texts[6] == rows[7][1] and texts[None] == "a null id " + text
+        assert texts[5].startswith("mail [EMAIL] own0 ") and texts[5].endswith("own8999")
+        assert {r.doc_id for r in got} == {1, 4, 5, 6, None}
