@@ -204,6 +204,6 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, group_size: int =
     pieces = keyed(docs).mapInArrow(_cut(capacity), PIECES)
     groups = max(1, -(-pieces.count() // group_size))
     dealt = pieces.select(F.pmod("deal", F.lit(groups)).alias("g"), "doc_id", "piece", "size", "text")
-    # a number of its own: the rows are few bytes but much work, so adaptive execution mustn't join these partitions
-    ordered = dealt.repartition(min(groups, PARTITIONS), "g").sortWithinPartitions("g", F.desc("size"), "doc_id", "piece")
+    # a partition for each group, by its number: a hash of few numbers deals several to one task, and adaptive execution mustn't join them
+    ordered = dealt.repartitionById(min(groups, PARTITIONS), F.col("g").cast("int")).sortWithinPartitions("g", F.desc("size"), "doc_id", "piece")
     return ordered.mapInArrow(_pack_groups(capacity), "bin_group long, bin int, doc_id long, piece int, n_tokens int, text string")
