@@ -56,10 +56,10 @@ def curve_index(cells: list[np.ndarray], bits: int) -> np.ndarray:
     return out
 
 
-def cells(docs: DataFrame, dimensions=DIMENSIONS, bits: int = BITS, id_col: str = "doc_id") -> DataFrame:
-    """(id, d0, d1, ...): the id as a long and each row's cell in each dimension."""
+def cells(docs: DataFrame, dimensions=DIMENSIONS, bits: int = BITS, id_col: str = "doc_id", whole: bool = False) -> DataFrame:
+    """(id, d0, d1, ...): the id as a long and each row's cell in each dimension; with ``whole`` the row too, as a struct."""
     top = (1 << bits) - 2
-    own = docs.select(docs[id_col].cast("long").alias("id"), *(docs[c].cast("double" if kind != "rank" else "string").alias(f"v{i}") for i, (c, kind) in enumerate(dimensions)))
+    own = docs.select(docs[id_col].cast("long").alias("id"), *(docs[c].cast("double" if kind != "rank" else "string").alias(f"v{i}") for i, (c, kind) in enumerate(dimensions)), *([F.struct(*(docs[c] for c in docs.columns)).alias("row")] if whole else []))
     numeric = [i for i, (_, kind) in enumerate(dimensions) if kind != "rank"]
     ends = own.agg(F.count("*").alias("n"), *(f(F.when(~F.isnan(f"v{i}"), F.col(f"v{i}"))).alias(f"{f.__name__}{i}") for i in numeric for f in (F.min, F.max))).first()
     for i, (_, kind) in enumerate(dimensions):
@@ -78,11 +78,16 @@ def cells(docs: DataFrame, dimensions=DIMENSIONS, bits: int = BITS, id_col: str
         else:
             at = F.lit(1) + F.floor((v - F.lit(lo)) * F.lit(float(top)) / (F.lit(hi) - F.lit(lo)))
         own = own.withColumn(f"d{i}", F.when(v.isNull() | F.isnan(v), F.lit(0)).otherwise(F.least(at, F.lit(top + 1))).cast("int"))
-    return own.select("id", *(f"d{i}" for i in range(len(dimensions))))
+    return own.select("id", *(f"d{i}" for i in range(len(dimensions))), *(["row"] if whole else []))
 
 
 def shards(docs: DataFrame, dimensions=DIMENSIONS, bits: int = BITS, run_rows: int = RUN_ROWS, id_col: str = "doc_id") -> DataFrame:
     """(id, curve, position, run, d0, d1, ...) of every row, the id under its own name."""
+    out = _placed(docs, dimensions, bits, id_col, False)
+    return out.select(F.col("id").alias(id_col), "curve", "position", F.floor(F.col("position") / F.lit(run_rows)).cast("long").alias("run"), *(f"d{i}" for i in range(len(dimensions))))
+
+
+def _placed(docs: DataFrame, dimensions, bits: int, id_col: str, whole: bool) -> DataFrame:
     names = [f"d{i}" for i in range(len(dimensions))]
     if bits * len(names) > 63:
         raise ValueError("the curve's index takes bits times dimensions, 63 at most")
@@ -91,9 +96,8 @@ def shards(docs: DataFrame, dimensions=DIMENSIONS, bits: int = BITS, run_rows: i
     def index(*dims: pd.Series) -> pd.Series:
         return pd.Series(curve_index([d.to_numpy() for d in dims], bits))
 
-    placed = cells(docs, dimensions, bits, id_col).withColumn("curve", index(*names))
-    out = positioned(placed, [F.col("curve").asc(), F.col("id").asc_nulls_first()])
-    return out.select(F.col("id").alias(id_col), "curve", "position", F.floor(F.col("position") / F.lit(run_rows)).cast("long").alias("run"), *names)
+    placed = cells(docs, dimensions, bits, id_col, whole).withColumn("curve", index(*names))
+    return positioned(placed, [F.col("curve").asc(), F.col("id").asc_nulls_first()])
 
 
 def zone_map(docs: DataFrame, assigned: DataFrame, columns: list[str], id_col: str = "doc_id") -> DataFrame:
@@ -103,11 +107,14 @@ def zone_map(docs: DataFrame, assigned: DataFrame, columns: list[str], id_col: s
     return both.groupBy("run").agg(F.count("*").alias("n"), *(f(F.col("__id" if c == id_col else c)).alias(f"{f.__name__}_{c}") for c in columns for f in (F.min, F.max)))
 
 
-def write_runs(docs: DataFrame, path: str, id_col: str = "doc_id", **options) -> None:
-    """``docs`` (ids unique) as Parquet, a folder for each run, in the order of the curve."""
-    places = shards(docs, id_col=id_col, **options).select(F.col(id_col).alias("__id"), F.col("position").alias("__position"), "run")
-    joined = docs.drop("run").join(places, docs[id_col].cast("long") == F.col("__id")).drop("__id")
-    joined.repartition("run").sortWithinPartitions("run", "__position").drop("__position").write.partitionBy("run").parquet(path)
+def write_runs(docs: DataFrame, path: str, dimensions=DIMENSIONS, bits: int = BITS, run_rows: int = RUN_ROWS, id_col: str = "doc_id") -> None:
+    """All rows of ``docs``, null and repeated ids too, as Parquet in the order of the curve, a file for each run of at most ``run_rows``.
+
+    The rows go along through the range shuffle, so nothing is joined back by the id;
+    a partition's last file may be short.
+    """
+    out = _placed(docs, dimensions, bits, id_col, True)
+    out.select("row.*").write.option("maxRecordsPerFile", run_rows).parquet(path)
 
 
 def _oracle() -> str:

@@ -4,6 +4,7 @@ import re
 
 import brute
 import numpy as np
+import pyspark
 import pytest
 import tiktoken
 
@@ -163,6 +164,13 @@ def test_shards(spark, documents, tmp_path):
     assert skipped > len(zones) // 3
     hilbert.write_runs(docs, str(tmp_path / "runs"), run_rows=64)
     assert spark.read.parquet(str(tmp_path / "runs")).count() == 500
+    odd = documents([*rows, (None, "z"), (9, "y"), (9, "y")], wide=False)  # null and repeated ids
+    hilbert.write_runs(odd, str(tmp_path / "odd"), run_rows=50)
+    back = spark.read.parquet(str(tmp_path / "odd"))
+    key = lambda df: sorted(map(repr, df.collect()))
+    assert key(back.select(*odd.columns)) == key(odd)
+    files = back.groupBy(pyspark.sql.functions.input_file_name().alias("f")).agg(pyspark.sql.functions.count("*").alias("n")).collect()
+    assert len(files) >= 11 and max(f.n for f in files) <= 50
 
 
 # neighbours
