@@ -2,6 +2,7 @@ import hashlib
 import hmac
 import re
 
+import numpy as np
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -87,3 +88,13 @@ def test_diff_gives_both_texts_back(a, b):
 def test_context(spark):
     files = spark.createDataFrame([("a.rs", "fn handle_it() {} widget"), ("b.rs", "handle_it()"), ("test_a.rs", "widget")], "path string, text string")
     assert {(r.path, r.role) for r in S.context(files, "widget").collect()} == {("a.rs", "match"), ("test_a.rs", "test"), ("b.rs", "caller")}
+
+
+def test_postings_of_a_large_batch(spark):
+    """Four million trigrams in one batch of texts: Arrow gives a single array of so many strings in chunks."""
+    codes = np.random.default_rng(1).integers(0x4E00, 0x9E00, (400, 10_000), np.uint32)
+    texts = [c.astype("<u4").tobytes().decode("utf-32-le") for c in codes]
+    docs = spark.createDataFrame([*enumerate(texts), (400, None), (401, "ab"), (402, "aBcABCd")], "doc_id long, text string").coalesce(1)
+    per_doc = {r.doc_id: (r.n, r.last) for r in S.postings(docs).groupBy("doc_id").agg(F.count("tri").alias("n"), F.max("tri").alias("last")).collect()}
+    want = {i: T.trigrams_of(t) for i, t in enumerate([*texts, "", "", "aBcABCd"])}
+    assert per_doc == {i: (len(w), w[-1]) for i, w in want.items() if w}
