@@ -3,6 +3,7 @@ import hmac
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -98,3 +99,22 @@ def test_postings_of_a_large_batch(spark):
     per_doc = {r.doc_id: (r.n, r.last) for r in S.postings(docs).groupBy("doc_id").agg(F.count("tri").alias("n"), F.max("tri").alias("last")).collect()}
     want = {i: T.trigrams_of(t) for i, t in enumerate([*texts, "", "", "aBcABCd"])}
     assert per_doc == {i: (len(w), w[-1]) for i, w in want.items() if w}
+
+
+def test_ngrams_go_on_before_all_are_made(docs):
+    """No array holds the n-grams of a whole batch of texts; null and short texts have none."""
+    assert "MapInArrow" in S.ngram_index(docs)._jdf.queryExecution().executedPlan().toString()
+    seen = []
+    texts = [None, "ab", *(f"handle_request_{i} " * 3000 for i in range(60))]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(range(len(texts)))], ["t", "doc_id"])
+    parts = T.rows_of(lambda t: seen.append(t) or [t[i : i + 5] for i in range(len(t) - 4)], "gram")(iter([batch]))
+    first = next(parts)
+    assert len(seen) < 10 and first.num_rows <= 2 * T.ROWS
+    out = pa.Table.from_batches([first, *parts])
+    assert out.num_rows == sum(max(0, len(t or "") - 4) for t in texts)
+    assert out["doc_id"].to_pylist() == [i for i, t in enumerate(texts) for _ in range(max(0, len(t or "") - 4))]
+
+
+@given(st.text(max_size=80))
+def test_weights(text):
+    assert T._weights(text).tolist() == [T.pair_weight(a, b) for a, b in zip(text, text[1:])]
